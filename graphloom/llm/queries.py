@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentence_pieces, word_tokens
-from .common import read
+from . import mixing, sentence_pieces, sharding, token_files, word_tokens
+from .common import cut, read
 
 #: Vocabularies that op1, op5 and op8 name.
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -23,14 +24,28 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECES))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return word_tokens.token_counts(docs, vocabulary(WORDS), limit=2048)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(WORDS))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sized = cut(docs.select("doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size")), "sizes")
+    return mixing.mix(sized).drop("sources")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}
