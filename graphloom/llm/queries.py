@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentence_pieces, sharding, token_files, word_tokens
+from . import line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
 from .common import cut, read
 
 #: Vocabularies that op1, op5 and op8 name.
@@ -28,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_quality.rate(docs, line_quality.fit(docs, read(spark, sf_dir, "labels")), keep_text=False)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return word_tokens.token_counts(docs, vocabulary(WORDS), limit=2048)
