@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
+from . import exact_repeats, line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
 from .common import cut, read
 
 #: Vocabularies that op1, op5 and op8 name.
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_tokens.token_counts(docs, vocabulary(WORDS), limit=2048)
 
 
+def op7_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(WORDS))
 
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op2_sharding": sharding.ORACLE, "op7_exact_repeats": exact_repeats.ORACLE, "op9_mixing": mixing.ORACLE}
