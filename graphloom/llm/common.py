@@ -208,3 +208,34 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             last = key
     if held:
         yield pa.concat_tables(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """(table, edges): runs of complete groups of rows with equal keys, of batches sorted by them, many groups at a time."""
+    held: pa.Table | None = None
+
+    def split(table: pa.Table) -> list[int]:
+        change = np.ones(table.num_rows, bool)
+        change[1:] = False
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(change).tolist()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        edges = split(table)
+        held = table.slice(edges[-1])
+        if len(edges) > 1:
+            yield table.slice(0, edges[-1]).combine_chunks(), edges
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), [0, held.num_rows]
+
+
+def flat_lists(column: pa.ChunkedArray | pa.Array, width: int, kind) -> np.ndarray:
+    """A list column with lists of one width, as rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, width)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_repeats, line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
+from . import exact_repeats, jaccard_join, line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
 from .common import cut, read
 
 #: Vocabularies that op1, op5 and op8 name.
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_tokens.token_counts(docs, vocabulary(WORDS), limit=2048)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats.digests(read(spark, sf_dir, "documents"))
 
