@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_repeats, jaccard_join, line_quality, mixing, sentence_pieces, sharding, token_files, word_tokens
+from . import chat_format, exact_repeats, jaccard_join, line_quality, mixing, sentence_pieces, sharding, token_files, vector_search, word_tokens
 from .common import cut, read
 
 #: Vocabularies that op1, op5 and op8 name.
@@ -28,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_quality.rate(docs, line_quality.fit(docs, read(spark, sf_dir, "labels")), keep_text=False)
@@ -56,9 +61,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).drop("sources")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.ORACLE, "op7_exact_repeats": exact_repeats.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op2_sharding": sharding.ORACLE, "op3_vector_search": vector_search.ORACLE, "op7_exact_repeats": exact_repeats.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE}
