@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, shared_folder, small_batches
-from .word_tokens import slice_texts, worker_table
+from .common import list_array, shared_folder, small_batches, text_slices
+from .word_tokens import worker_vocabulary
 
 #: Row groups and pages of the files. Version 2 pages write plain numbers as deltas; ids of a vocabulary go by dictionary.
 LAYOUT = {
@@ -42,7 +42,7 @@ SCHEMA = T.StructType([
 ])
 
 
-def write_token_ids(df: DataFrame, vocabulary: str, path: str, text: str = "text", end_id: int = 1, layout: dict[str, str] | None = None) -> str:
+def write_token_ids(df: DataFrame, vocabulary_path: str, path: str, text: str = "text", end_id: int = 1, layout: dict[str, str] | None = None) -> str:
     """Write the ids of every whole text, each with end_id behind, in ascending doc_id order; returns path.
 
     One shuffle deals documents by ranges of (doc_id, hash of the text), so that even one doc_id with many
@@ -50,21 +50,19 @@ def write_token_ids(df: DataFrame, vocabulary: str, path: str, text: str = "text
     doc_id are all written, in an order that depends on their texts alone. Other columns are left out.
     """
     small_batches(df.sparkSession)
-    end = np.asarray([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(vocabulary)
+        vocabulary = worker_vocabulary(vocabulary_path)
         part = TaskContext.get().partitionId()
         before = 0
         for batch in batches:
-            found: list[bytes] = []
-            for _, _, texts in slice_texts(batch.column(1)):
-                found += [i + end for i in table.ids(texts)]
-            counts = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
-            starts = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            tokens = list_array(np.frombuffer(b"".join(found), "<i4"), counts, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(found), part, np.int32)), pa.array(starts), pa.array(counts), tokens], names=SCHEMA.names)
+            for a, b, raw, off in text_slices(batch.column(1)):
+                ids, counts = vocabulary.ids(raw, off)
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+                starts = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(starts), pa.array(counts), list_array(ids, counts, pa.int32())], names=SCHEMA.names)
 
     rows = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     tie = F.xxhash64("text")

@@ -1,38 +1,36 @@
-"""Token counts, and the chunk table that they share with the binary output.
+"""Token counts, and the span table that they share with the binary output.
 
-A text is split at ASCII spaces and line feeds. Where a vocabulary's normaliser works
-character by character and its pre-tokeniser drops white space, no token can span
-such a chunk, so the ids of a text are those of its chunks in turn. `splits_at_spaces`
-checks that of a vocabulary; others are encoded text by text.
+A text is split at ASCII white space, and a run of ASCII punctuation behind a letter is cut
+off. Where a vocabulary's normaliser works character by character and its pre-tokeniser
+drops white space, no token can span those places, so the ids of a text are those of its
+spans in turn. `splits_at_spaces` checks that of a vocabulary; others are encoded text by
+text.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
-import struct
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_slices
+from .common import small_batches, span_hashes, text_slices, word_spans
+from .span_table import SpanTable, per_text
 
-#: Chunks and words that a worker keeps, and the longest that it keeps.
-CACHE_CHUNKS = 500_000
-CACHE_CORES = 1_000_000
-CACHE_CHARS = 64
-#: Chunks whose lengths are broadcast, and chunks that each task reports to find them.
-FREQUENT = 32_768
+#: Spans whose lengths are broadcast, and spans that each task reports to find them.
+FREQUENT = 65_536
 PER_TASK = 8_192
 
+#: A fixed value: the only pre-token pattern whose pieces this module knows how to find.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
@@ -57,7 +55,8 @@ def splits_at_spaces(path: str) -> bool:
         and pre[0]["type"] == "Split"
         and pre[0]["behavior"] == "Removed"
         and pre[0]["invert"]
-        and pre[0]["pattern"].get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        and pre[0]["pattern"].get("Regex", "") == PATTERN
+        and any(n["type"] == "Lowercase" for n in norm)
         and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         and spec["model"]["type"] == "BPE"
@@ -66,28 +65,63 @@ def splits_at_spaces(path: str) -> bool:
     )
 
 
-def chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+def _bytes(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = _bytes(bytes(range(97, 123)))
+#: ASCII punctuation but the apostrophe, which begins contractions, and what special tokens begin and end with.
+_TAIL = _bytes(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<>|"))
+_LETTERS = re.compile("[a-zß-öø-įıĳ-ſ]+").fullmatch
+#: Bytes of punctuation that are cut off at most; longer runs stay with their word.
+TAIL_BYTES = 6
 
-#: Letters that are lower-cased one by one and in NFC are one pre-token; ASCII punctuation before or behind is another. What could begin a special token or a contraction is left to the library.
-_LATIN = re.compile(r"([!-&(-;=?@\[-`{}~]*)([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-/:-@\[-`{-~]*)").fullmatch
-_DIGIT = re.compile("[0-9]").search
 
+def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): ASCII letters in lower case, and spans whose ids follow one another.
 
-class ChunkIds:
-    """A worker's tables from chunks and from words to ids (as little-endian 32-bit bytes), bounded; misses are encoded in one batch."""
+    The normaliser lowers letters anyway; spans with a `<` stay as they are, since special tokens are looked
+    for before that. Punctuation is cut off only behind an ASCII letter or one of U+00C0 to U+00FF.
+    """
+    starts, ends, first = word_spans(raw, off)
+    low = _LOWER[raw]
+    for at in np.unique(np.searchsorted(starts, np.flatnonzero(raw == 60), side="right") - 1):
+        low[starts[at] : ends[at]] = raw[starts[at] : ends[at]]
+    cut = ends.copy()
+    open_ = np.arange(len(starts))
+    for _ in range(TAIL_BYTES):
+        open_ = open_[_TAIL[low[cut[open_] - 1]] & (cut[open_] - starts[open_] > 1)]
+        cut[open_] -= 1
+    before = low[cut - 1] if len(cut) else low[:0]
+    second = low[np.maximum(cut - 2, 0)] == 0xC3  # U+00C0 to U+00FF but for the signs for times and divided
+    second &= (cut - starts > 1) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    cut = np.where(_LETTER[before] & (cut > starts) | second, cut, ends)
+    tails = cut < ends
+    extra = np.cumsum(tails)
+    place = np.arange(len(starts)) + extra - tails
+    all_starts, all_ends = np.empty((2, len(starts) + int(tails.sum())), np.int64)
+    all_starts[place], all_ends[place] = starts, cut
+    all_starts[place[tails] + 1], all_ends[place[tails] + 1] = cut[tails], ends[tails]
+    shift = np.concatenate([[0], extra])
+    return low, all_starts, all_ends, first + shift[first]
+
+
+class Vocabulary:
+    """A worker's tokenizer and table."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.whole = not splits_at_spaces(path)
+        self.table = SpanTable(self.encode)
         self.words = self.tokenizer if self.whole else self._without_normaliser(path)
-        self.table: dict = {}
-        self.cores: dict = {"": self.value([])}
 
     @staticmethod
     def _without_normaliser(path: str):
-        """The same vocabulary and merges for text that is normalised and pre-tokenised already."""
+        """The same vocabulary and merges for words that are normalised and pre-tokenised already."""
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -95,164 +129,118 @@ class ChunkIds:
         levels = [p for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if p["type"] == "ByteLevel"]
         return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": levels[0] if levels else None, "added_tokens": []}))
 
-    @staticmethod
-    def value(ids: list[int]):
-        return _INTS(len(ids)).pack(*ids)
-
-    def _encode(self, texts: list[str], latin: bool = False) -> list:
-        value = self.value
-        return [value(e.ids) for e in (self.words if latin else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]):
-        """A table with the value of every chunk in words."""
-        if len(self.table) + len(words) > CACHE_CHUNKS:
-            self.table.clear()
-        cores = self.cores
-        if len(cores) + len(words) > CACHE_CORES:
-            cores.clear()
-            cores[""] = self.value([])
-        gc.disable()  # many small tuples and no cycles
-        parts, plain, other = [], set(), set()
-        for w in words.difference(self.table):
-            m = _LATIN(w)
-            if m and not _DIGIT(m[1]):
-                before, core, behind = m[1], m[2].lower(), m[3]
-                if core not in cores:
-                    plain.add(core)
-                if before and before not in cores:
-                    other.add(before)
-                if behind and behind not in cores:
-                    other.add(behind)
-                parts.append((w, core, before, behind))
-            else:
-                if w not in cores:
-                    other.add(w)
-                parts.append((w, w, "", ""))
-        long = {}
-        for texts, latin in ((list(plain), True), (list(other), False)):
-            for c, v in zip(texts, self._encode(texts, latin) if texts else ()):
-                (cores if len(c) <= CACHE_CHARS else long)[c] = v
-        get = (_Both(cores, long) if long else cores).__getitem__
-        table, extra = self.table, {}
-        for w, core, before, behind in parts:
-            v = get(core)
-            if before:
-                v = get(before) + v
-            if behind:
-                v = v + get(behind)
-            (table if len(w) <= CACHE_CHARS else extra)[w] = v
-        gc.enable()
-        return _Both(table, extra) if extra else table
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        plain = [k for k, t in enumerate(texts) if _LETTERS(t)] if not self.whole else []
+        rest = sorted(set(range(len(texts))).difference(plain))
+        out: list[list[int]] = [[]] * len(texts)
+        for places, tokenizer in ((plain, self.words), (rest, self.tokenizer)):
+            for k, e in zip(places, tokenizer.encode_batch_fast([texts[k] for k in places], add_special_tokens=False) if places else ()):
+                out[k] = e.ids
+        return out
+
+    def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, one after the other, and the number of each text's."""
         if self.whole:
-            return self._encode(texts)
-        split = [chunks(t) for t in texts]
-        get = self.learn(set().union(*split)).__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class ChunkLengths(ChunkIds):
-    """The same with numbers of ids."""
-
-    value = staticmethod(len)
-
-    def counts(self, texts: list[str], first: dict[str, int]) -> list[int]:
-        """Token counts of texts; chunks in `first` need no table of this worker."""
-        if self.whole:
-            return self._encode(texts)
-        split = [chunks(t) for t in texts]
-        missed = set().union(*split).difference(first)
-        found = self.learn(missed)
-        get = (first | {w: found[w] for w in missed}).__getitem__
-        return [sum(map(get, words)) for words in split]
-
-
-@lru_cache(4096)
-def _INTS(n: int) -> struct.Struct:
-    return struct.Struct(f"<{n}i")
+            data = raw.tobytes()
+            found = self.encode([data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+            return np.fromiter((i for f in found for i in f), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        low, starts, ends, first = spans(raw, off)
+        entries = self.table.look_up(low, starts, ends)
+        return self.table.gather(entries), per_text(self.table.lengths[entries], first)
 
 
-class _Both:
-    """Two tables as one, without a copy."""
+_workers: dict[str, Vocabulary] = {}
 
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
 
-    def __getitem__(self, key):
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+def worker_vocabulary(path: str) -> Vocabulary:
+    if path not in _workers:
+        _workers[path] = Vocabulary(path)
+    return _workers[path]
 
 
-_workers: dict[tuple, ChunkIds] = {}
+def frequent_spans(df: DataFrame, text: str = "text", keep: int = FREQUENT, per_task: int = PER_TASK) -> list[str]:
+    """The spans found most often over all texts, by lossy counting: each task reports at most per_task counts, which are then summed.
 
-
-def worker_table(path: str, kind: type = ChunkIds):
-    """This worker's table for a vocabulary."""
-    if (kind, path) not in _workers:
-        _workers[kind, path] = kind(path)
-    return _workers[kind, path]
-
-
-def slice_texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    for a, b, _, _ in text_slices(column):
-        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
-
-
-def frequent_chunks(df: DataFrame, text: str = "text", keep: int = FREQUENT, per_task: int = PER_TASK) -> list[str]:
-    """The chunks found most often over all texts, by lossy counting: each task reports at most per_task counts, which are then summed.
-
-    At most `keep` strings come to the driver. They only decide which tier answers, never the result.
+    A task counts the spans that recur within a slice. At most `keep` strings come to the driver. They only
+    decide which tier answers, never the result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for _, _, texts in slice_texts(batch.column(0)):
-                for t in texts:
-                    seen.update(chunks(t))
+            for _, _, raw, off in text_slices(batch.column(0)):
+                low, starts, ends, _ = spans(raw, off)
+                _, at, n = np.unique(span_hashes(low, starts, ends), return_index=True, return_counts=True)
+                at, n = at[n > 1], n[n > 1]
+                data = low.tobytes()
+                seen.update({data[a:b].decode(): k for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist())})
                 if len(seen) > 32 * per_task:
                     seen = Counter(dict(seen.most_common(8 * per_task)))
-        top = [(k, n) for k, n in seen.most_common(per_task) if k and len(k) <= CACHE_CHARS and n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
+        top = seen.most_common(per_task)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["span", "n"])
+
+    counts = df.select(text).mapInArrow(count, "span string, n long")
+    top = counts.groupBy("span").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "span").limit(keep)
+    return [r.span for r in top.collect()]
+
+
+class Lengths:
+    """The first tier: a sorted table of hashes and lengths in a few hundred kB."""
+
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
+        order = np.argsort(hashes)
+        self.table = SpanTable(lambda texts: [], max(1024, len(hashes)))
+        self.table._add(hashes[order], [[int(n)] for n in lengths[order]])
 
-    counts = df.select(text).mapInArrow(count, "chunk string, n long")
-    top = counts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(keep)
-    return [r.chunk for r in top.collect()]
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The length of each span, -1 where the table doesn't have it."""
+        found = self.table.find(hashes)
+        return np.where(found < 0, -1, self.table.ids[np.maximum(found, 0)]) if self.table.n else np.full(len(hashes), -1)
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep: int = FREQUENT) -> DataFrame:
-    """df with n_bytes, n_tokens and over_limit of each whole text, without any shuffle of its chunks.
+    """df with n_bytes, n_tokens and over_limit of each whole text, without any shuffle of its spans.
 
-    First tier: a broadcast table of the lengths of at most `keep` frequent chunks, packed (under 1 MB).
-    Second tier: chunks missing there are encoded once for each worker, whose table is bounded.
+    First tier: a broadcast table of the lengths of at most `keep` frequent spans, 9 bytes each.
+    Second tier: spans missing there are encoded once for each worker, whose table is bounded.
     Null texts are empty (0 bytes, 0 tokens). Columns of df named like results are replaced; rows
     are kept as they are, repeated ones too. Very long texts are split, never cut.
     """
     spark = df.sparkSession
     small_batches(spark)
-    driver = ChunkLengths(path)
-    words = [] if driver.whole else frequent_chunks(df, text, keep)
-    lengths = bytes(min(255, n) for n in driver.counts(words, {}))
-    packed = spark.sparkContext.broadcast((zstandard.compress("\n".join(words).encode()), lengths))
+    driver = Vocabulary(path)
+    words = [] if driver.whole else frequent_spans(df, text, keep)
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words]).astype(np.int64)
+    hashes = span_hashes(raw, np.append(np.zeros(1, np.int64), end[:-1])[: len(words)], end)
+    lengths = np.array([len(i) for i in driver.encode(words)], np.int64)
+    short = lengths < 256
+    packed = spark.sparkContext.broadcast((hashes[short], lengths[short].astype(np.uint8)))
     kept = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     fields = [df.schema[c] for c in kept if c != text]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(path, ChunkLengths)
-        blob, sizes = packed.value
-        names = zstandard.decompress(blob).decode().split("\n") if sizes else []
-        first = {w: n for w, n in zip(names, sizes) if n < 255}
+        vocabulary = worker_vocabulary(path)
+        frequent = Lengths(*packed.value)
         for batch in batches:
-            n_bytes: list[int] = []
-            n_tokens: list[int] = []
-            column = batch.column(batch.schema.get_field_index(text))
-            for _, _, texts in slice_texts(column):
-                n_bytes += [len(t.encode()) for t in texts]
-                n_tokens += table.counts(texts, first)
+            n_bytes, n_tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, raw, off in text_slices(batch.column(batch.schema.get_field_index(text))):
+                n_bytes.append(np.diff(off))
+                if vocabulary.whole:
+                    n_tokens.append(vocabulary.ids(raw, off)[1])
+                    continue
+                low, starts, ends, first = spans(raw, off)
+                hashes = span_hashes(low, starts, ends)
+                lengths = frequent.of(hashes)
+                missed = lengths < 0
+                table = vocabulary.table
+                entries = table.look_up(low, starts[missed], ends[missed], hashes[missed])
+                lengths[missed] = table.lengths[entries]
+                n_tokens.append(per_text(lengths, first))
+            total = np.concatenate(n_tokens)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
-            arrays += [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
+            arrays += [pa.array(np.concatenate(n_bytes)), pa.array(total), pa.array(total > limit)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*kept).mapInArrow(count, schema)
