@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
 from .sharding import BITS, hash_bits
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -150,15 +151,15 @@ def mix(df: DataFrame, sources: str = "sources", size: str = "size", key: str =
     to a dict of whole numbers; by default they weigh 1, 2, 3, repeating. `size` is 0 where null. Each row is
     taken a whole number of times, at most `most`; rows of equal key are told apart by size, then by place.
     A pattern's selection misses its flow by at most half a document. An empty table gives no rows. df
-    should be a table at rest: it is read once for each round of the selection, as narrow columns.
+    should be a table at rest: it is read twice, once for sizes and keys, which the selection then works on.
     """
     spark = df.sparkSession
     free = lambda name: name if name not in df.columns else free(name + "_")
     pattern, h, place = free("pattern"), free("h"), free("place")
     kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
     full = df.select(*kept).withColumns({pattern: F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))), {"ignoreNullFields": "false"}), size: F.coalesce(size, F.lit(0)).cast("long"), h: hash_bits(key, seed=seed), place: F.monotonically_increasing_id()})
-    rows = full.select(F.col(pattern).alias("pattern"), F.col(size).alias("size"), F.col(h).alias("h"), F.col(place).alias("place"))
-    totals = full.groupBy(pattern).agg(F.sum(size).alias("n"), F.first(F.array_sort(F.array_distinct(sources))).alias("members")).collect()
+    rows = cut(full.select(F.col(pattern).alias("pattern"), sources, F.col(size).alias("size"), F.col(h).alias("h"), F.col(place).alias("place")), "sizes")
+    totals = rows.withColumnRenamed("pattern", pattern).groupBy(pattern).agg(F.sum("size").alias("n"), F.first(F.array_sort(F.array_distinct(sources))).alias("members")).collect()
     members = {r[pattern]: list(r.members or []) for r in totals}
     supply = {r[pattern]: int(r.n) for r in totals if r.members}
     names = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))
