@@ -11,7 +11,6 @@ corpus would be several times the input.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, small_batches
-from .word_tokens import CACHE_CHARS, CACHE_CORES, _Both, slice_texts
+from .common import list_array, small_batches, text_slices
+from .span_table import SpanTable, per_text
 
 MARK = "▁"
-_MARKED = re.compile(" +[^ ]*")
 
 
 def load_model(path: str):
@@ -52,46 +50,59 @@ def segments_by_words(model) -> bool:
     )
 
 
-def marked_words(text: str) -> list[str]:
-    """The marked words of a text without their first mark (the library adds it): runs of marks stay with the word behind them."""
-    if not text:
-        return []
-    if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [w[1:] for w in _MARKED.findall(" " + text.replace(MARK, " "))]
+def marked_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): texts behind their first mark, and their marked words; marks are spaces here.
 
+    A word starts at every mark that follows something else; further marks stay with the word behind them.
+    """
+    full = off[1:] > off[:-1]
+    marked = np.insert(raw, off[:-1][full], 32)
+    off = off + np.concatenate([[0], np.cumsum(full)])
+    begin = marked == 32
+    begin[1:] &= marked[:-1] != 32
+    begin[off[:-1][full]] = True
+    starts = np.flatnonzero(begin)
+    first = np.searchsorted(starts, off)
+    ends = np.append(starts[1:], 0)
+    ends[first[1:][full] - 1] = off[1:][full]
+    return marked, starts, ends[: len(starts)], first
+
+
+class Pieces:
+    """A worker's model and table."""
 
-class PieceTable:
     def __init__(self, path: str):
         self.model = load_model(path)
         self.whole = not segments_by_words(self.model)
-        self.table: dict[str, bytes] = {}
+        self.mark = [self.model.piece_to_id(MARK)]
+        self.table = SpanTable(self.encode_words)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(i, np.int32).tobytes() for i in self.model.encode(texts, out_type=int, num_threads=1)]
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of marked words; the library adds the first mark itself, but not to an empty text."""
+        found = self.model.encode([w[1:] for w in words], out_type=int, num_threads=1)
+        return [i if len(w) > 1 else self.mark for w, i in zip(words, found)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, one after the other, and the number of each text's."""
+        data = raw.tobytes()
         if self.whole:
-            return self._encode(texts)
-        split = [marked_words(t) for t in texts]
-        words = set().union(*split)
-        if len(self.table) + len(words) > CACHE_CORES:
-            self.table.clear()
-        new = list(words.difference(self.table))
-        long = {}
-        for w, v in zip(new, self._encode(new)):
-            (self.table if len(w) <= CACHE_CHARS else long)[w] = v
-        get = (_Both(self.table, long) if long else self.table).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            texts = [data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            found = self.model.encode(texts, out_type=int, num_threads=1)
+            return np.fromiter((i for f in found for i in f), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        if MARK.encode() in data:  # a mark in the text is a space to the model
+            texts = [data[a:b].replace(MARK.encode(), b" ") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        marked, starts, ends, first = marked_spans(raw, off)
+        entries = self.table.look_up(marked, starts, ends)
+        return self.table.gather(entries), per_text(self.table.lengths[entries], first)
 
 
-_workers: dict[str, PieceTable] = {}
+_workers: dict[str, Pieces] = {}
 
 
-def piece_table(path: str) -> PieceTable:
+def worker_pieces(path: str) -> Pieces:
     if path not in _workers:
-        _workers[path] = PieceTable(path)
+        _workers[path] = Pieces(path)
     return _workers[path]
 
 
@@ -107,14 +118,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(path)
+        pieces = worker_pieces(path)
         for batch in batches:
-            found: list[bytes] = []
-            for _, _, texts in slice_texts(batch.column(batch.schema.get_field_index(text))):
-                found += table.ids(texts)
-            counts = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, list_array(np.frombuffer(b"".join(found), np.int32), counts, pa.int32())], names=schema.names)
+            for a, b, raw, off in text_slices(batch.column(batch.schema.get_field_index(text))):
+                found, counts = pieces.ids(raw, off)
+                arrays = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
+                yield pa.RecordBatch.from_arrays([*arrays, list_array(found, counts, pa.int32())], names=schema.names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -131,7 +140,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_table(path).model
+        model = worker_pieces(path).model
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             out: list[str] = []
