@@ -90,7 +90,7 @@ def main(args: list[str] | None = None) -> int:
     sub.add_parser("types")
     obj = sub.add_parser("obj")
     obj.add_argument("action", choices=["list", "show", "create", "update"])
-    obj.add_argument("pairs", nargs="*")
+    obj.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
     obj.add_argument("--type")
     obj.add_argument("--id")
     obj.add_argument("--add", action="store_true")
@@ -118,7 +118,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         session = Session(graph)
         obj_id = session.create(a.type, a.id) if a.action == "create" else a.id
-        assign(session, a.type, obj_id, a.pairs, a.add)
+        assign(session, a.type, obj_id, a.set, a.add)
         _commit(session, a.type, a.path, a.user)
         print(obj_id)
     return 0

@@ -45,7 +45,7 @@ def load(spark: SparkSession, text: DataFrame | str, catalog: Catalog) -> Graph:
     objects = objects.select(F.lower("obj_id").alias("obj_id"), "raw", F.get_json_object("raw", "$['$type']").alias("t"))
     names = {x: k for k, e in catalog.entities.items() for x in (k, e.id) if x}
     types = F.create_map(*[F.lit(x) for p in names.items() for x in p])
-    objects = objects.withColumn(TYPE, F.coalesce(types.getItem(F.col("t")), types.getItem(F.lower("t")))).where(F.col(TYPE).isNotNull())
+    objects = objects.withColumn(TYPE, F.coalesce(types[F.col("t")], types[F.lower("t")])).where(F.col(TYPE).isNotNull())
     # a variant column tells kinds apart; its parts go back to JSON text
     objects = objects.withColumn("j", F.try_parse_json("raw"))
     tables, pairs = {}, []
