@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,8 +44,10 @@ def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files are removed once their frames are collected
+    for _ in range(2):  # shuffle files go once their plan is collected, which takes two collections: of the plan, then of its references
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 
