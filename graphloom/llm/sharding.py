@@ -56,7 +56,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
         out = placed.select(
             key, "n_bytes",
             (F.lit(BITS) if tie else F.col("s.d")).cast("int").alias("shard_depth"), (F.col("g") if tie else prefix).alias("shard_prefix"),
-            (prefix + F.shiftleft(F.lit(1).cast("long"), F.col("s.d")) if tie else F.lit(0).cast("long")).alias("shard_tie"),
+            (prefix + F.expr("shiftleft(CAST(1 AS BIGINT), s.d)") if tie else F.lit(0).cast("long")).alias("shard_tie"),
             F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"), F.col("s").isNull().alias("open"), "h", "g",
         )
         left = out.where("open").select("g").limit(1).count() if depth < BITS or not tie else 0
