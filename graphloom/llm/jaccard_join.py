@@ -98,7 +98,8 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     nodes = classes.select("c", F.posexplode(start).alias("run", "node"))
     found = []
     for level in range(LEVELS):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written first, so that both sides of the join are plain exchanges and a hot node's rows can be split
+        sizes = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         nodes = cut(nodes.join(sizes, "node").select("c", "run", "node", "n"), "nodes")
         last = level == LEVELS - 1
         found.append(nodes if last else nodes.where(F.col("n") <= LEAF))
