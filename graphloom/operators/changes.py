@@ -27,6 +27,11 @@ def overlay(base: DataFrame, changes: DataFrame, keys: list[str], deleted: str =
     return hidden.unionByName(changes.where(~F.col(deleted)).select(*base.columns))
 
 
+def seek(rows: DataFrame, key: str, start: Any, most: int) -> DataFrame:
+    """The first rows at or behind a key, in its order, over a table or an overlay."""
+    return rows.where(F.col(key) >= F.lit(start)).orderBy(key).limit(most)
+
+
 def delete_objects(graph: Graph, entity: str, ids: DataFrame) -> Graph:
     """The graph without some objects (a frame with obj_id) of an entity or its descendants, and without edges at either end of them."""
     gone = ids.select("obj_id").distinct()

@@ -114,3 +114,10 @@ def _ids(graph: Graph, entity: str, c: Criterion) -> DataFrame:
         ref = graph.catalog.ref(entity, c.ref)
         return graph.ids_of_sources(entity, ref, _targets(graph, ref.target, c) if c.match is AssocMatch.SUBQUERY else None)
     return _matching(graph, entity, c, graph.scan(entity)).select("obj_id")
+
+
+def gram_index(graph: Graph, entity: str, field: str) -> DataFrame:
+    """(obj_id, gram): the distinct trigrams of a text field in lower case, for joins with terms that arrive as a table."""
+    text = graph.scan(entity).select("obj_id", F.lower(graph.catalog.field(entity, field).key).alias("t")).where(F.length("t") >= 3)
+    pieces = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))
+    return text.select("obj_id", F.explode(F.array_distinct(pieces)).alias("gram"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import changes, history
 from .operators.paths import Paths
-from .operators.search import search
+from .operators.search import gram_index, search
 from .operators.store import TYPE, Graph
 from .plans.criteria import Assoc, AssocMatch, Boolean, Criterion, ObjectId, Range, Text, TextMatch, Typed, all_of, any_of, one_of
 from .sources import json_dump
@@ -59,6 +59,8 @@ _HITS = " + ".join(f"contains(lower(p_name), '{_TERM[i:i + 3]}')::INT" for i in
 _search("str_fuzzy", "Part", Text("Name", _TERM, TextMatch.FUZZY, 0.4), f"SELECT p_partkey AS obj_id FROM part WHERE {_HITS} >= 4")
 _search("id_lookup", "Order", ObjectId(7), "SELECT o_orderkey AS obj_id FROM orders WHERE o_orderkey = 7")
 
+_add("gram_index", lambda g: gram_index(g, "Part", "Name").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "SELECT gram, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, substr(lower(p_name), i, 3) AS gram FROM part, unnest(range(1, length(p_name) - 1)) AS r(i)) GROUP BY 1")
+
 # combinations
 
 _SMALL, _CHEAP, _RED = Range("Size", 1, 10), Range("RetailPrice", 0, 950), Text("Name", "red")
@@ -164,7 +166,7 @@ def _log(g: Graph) -> DataFrame:
 
 _add("lww_changeset", lambda g: changes.last_write(_event_changes(g), ["obj_id", "fld_id"], ["seq"]), "SELECT user_id AS obj_id, event_type AS fld_id, event_id AS seq, value::DECIMAL(18,2)::VARCHAR AS new_value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 _add("overlay_read", _overlay, "SELECT c_custkey AS obj_id, (c_acctbal::DECIMAL(18,2) + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2)::DOUBLE AS \"AcctBal\" FROM customer WHERE c_custkey % 10 <> 0")
-_add("overlay_range", lambda g: _overlay(g).where("obj_id >= 100").orderBy("obj_id").limit(50), "SELECT c_custkey AS obj_id, (c_acctbal::DECIMAL(18,2) + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2)::DOUBLE AS \"AcctBal\" FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey >= 100 ORDER BY 1 LIMIT 50")
+_add("overlay_range", lambda g: changes.seek(_overlay(g), "obj_id", 100, 50), "SELECT c_custkey AS obj_id, (c_acctbal::DECIMAL(18,2) + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2)::DOUBLE AS \"AcctBal\" FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey >= 100 ORDER BY 1 LIMIT 50")
 _add("delete_cascade", _cascade, "SELECT 'Customer' AS _typ, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Order_Customer', count(*) FROM orders WHERE o_custkey % 3 <> 0")
 _add("edge_changes", lambda g: changes.unlink(changes.link(g.links(CATALOG.ref("Order", "Customer")), g.links(CATALOG.ref("Order", "Customer")).where("a % 2 = 0")), g.tables["Customer"].where("obj_id % 4 = 0").select(F.col("obj_id").alias("b"))), "SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_custkey % 4 <> 0")
 _add("history_events", _event_history, "WITH l AS (SELECT user_id AS obj_id, event_type AS fld_id, event_id AS seq, value::DECIMAL(18,2)::VARCHAR AS new_value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) SELECT obj_id, fld_id, seq, CASE WHEN fld_id = 'click' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = obj_id) THEN '0' END AS old_value, new_value FROM l WHERE new_value IS DISTINCT FROM CASE WHEN fld_id = 'click' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = obj_id) THEN '0' END")
@@ -175,6 +177,23 @@ _add("commit_by_id", lambda g: history.commit(_log(g), 10).select("obj_id", F.si
 _add("history_as_of", lambda g: history.as_of(_log(g), 100), "SELECT user_id AS obj_id, event_type AS fld_id, value::DECIMAL(18,2)::VARCHAR AS value FROM events WHERE dayofyear(ts) <= 100 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY dayofyear(ts) DESC, event_id DESC) = 1")
 
 
+def _session(g: Graph) -> DataFrame:
+    """A session's changes over one customer, as events of its commit."""
+    text = g.with_tables({"Customer": g.tables["Customer"].where("obj_id < 50").select(F.col("obj_id").cast("string").alias("obj_id"), "Name", "AcctBal", "Segment", "nation")})
+    small = Graph(g.catalog, {"Customer": text.tables["Customer"]}, {})
+    s = changes.Session(small)
+    s.set("Customer", "7", "Segment", "FIRST")
+    s.set("Customer", "7", "Segment", "LAST")
+    s.set("Customer", "8", "Segment", None)
+    s.create("Customer", "new", Name="N")
+    s.delete("Customer", "9")
+    events = history.commit_events(small, s.rows(), 1, dt.datetime(2026, 1, 1), "u")
+    return events.select("obj_id", "type", F.coalesce("fld_id", F.lit("")).alias("fld_id"), F.coalesce("old_value", F.lit("")).alias("old_value"), F.coalesce("new_value", F.lit("")).alias("new_value"))
+
+
+_add("session_commit", _session, "SELECT c_custkey::VARCHAR AS obj_id, 'FldChanged' AS type, 'Segment' AS fld_id, c_mktsegment AS old_value, CASE WHEN c_custkey = 7 THEN 'LAST' ELSE '' END AS new_value FROM customer WHERE c_custkey IN (7, 8) UNION ALL SELECT '9', 'ObjDeleted', '', '', '' UNION ALL SELECT 'new', 'ObjCreated', '', '', '' UNION ALL SELECT 'new', 'FldChanged', 'Name', '', 'N'")
+
+
 def _dumped(g: Graph) -> DataFrame:
     small = Graph(g.catalog, {"Nation": g.tables["Nation"], "Region": g.tables["Region"]}, {"Region_Nations": g.edges["Region_Nations"]})
     lines = json_dump.object_lines(small)
