@@ -13,9 +13,19 @@ def _fields(*keys: str) -> tuple[FieldDef, ...]:
     return tuple(FieldDef(k, _S) for k in keys)
 
 
-#: The ids of the two built-in models.
-META_ID = "5270c4a5-71c7-4afa-b2ab-5ef6ce4eb404"
-BASE_ID = "8f4d2969-9b7c-4c7b-a1d8-5b8d6e8d0475"
+#: The ids of the two built-in models and of the type of users.
+META_ID = "5270c4a5-71e0-4474-9f94-50745b29b404"
+BASE_ID = "8f4d2969-355f-46a3-8892-d86980a80475"
+USER_ID = "095433d0-4e74-471d-9b11-aea9538a86cc"
+
+#: The ids of the types of definitions.
+DEFINITIONS = {
+    "Model": "5739ae0d-e179-4d46-bae2-081f99d699da",
+    "EntityDefinition": "c15f876f-4f74-4034-9acb-03bc3b521e81",
+    "FieldDefinition": "42a6f33d-a938-4ad8-9682-aabdc92a53d2",
+    "ReferenceFieldDefinition": "2147ed0f-b37d-4429-a3f8-8312c1620383",
+    "EnumDefinition": "9daec113-7ff2-4c52-8ba1-3d400ac39b7b",
+}
 
 META = Model(
     "MetaModel",
@@ -30,7 +40,7 @@ META = Model(
     id=META_ID,
 )
 
-BASE = Model("BaseModel", (EntityDef("User"),), imports=(META_ID,), id=BASE_ID)
+BASE = Model("BaseModel", (EntityDef("User", id=USER_ID),), imports=(META_ID,), id=BASE_ID)
 
 
 def with_base(model: Model, *known: Model) -> Catalog:
