@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, span_hashes, text_slices, word_spans
+from .common import cut, small_batches, span_hashes, text_slices, word_spans
 from .span_table import SpanTable, per_text
 
 #: Spans whose lengths are broadcast, and spans that each task reports to find them.
@@ -161,27 +161,31 @@ def worker_vocabulary(path: str) -> Vocabulary:
 def frequent_spans(df: DataFrame, text: str = "text", keep: int = FREQUENT, per_task: int = PER_TASK) -> list[str]:
     """The spans found most often over all texts, by lossy counting: each task reports at most per_task counts, which are then summed.
 
-    A task counts the spans that recur within a slice. At most `keep` strings come to the driver. They only
+    A task counts the spans that recur within a slice. Only spans that make up a share of 1 / (4 * keep) of all
+    come to the driver, so there are at most 4 * keep however large the input; `keep` of them stay. They only
     decide which tier answers, never the result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        total = 0
         for batch in batches:
             for _, _, raw, off in text_slices(batch.column(0)):
                 low, starts, ends, _ = spans(raw, off)
+                total += len(starts)
                 _, at, n = np.unique(span_hashes(low, starts, ends), return_index=True, return_counts=True)
                 at, n = at[n > 1], n[n > 1]
                 data = low.tobytes()
                 seen.update({data[a:b].decode(): k for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist())})
                 if len(seen) > 32 * per_task:
                     seen = Counter(dict(seen.most_common(8 * per_task)))
-        top = seen.most_common(per_task)
+        top = [(k, n) for k, n in seen.most_common(per_task) if n * 4 * keep >= total] + [(None, total)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["span", "n"])
 
-    counts = df.select(text).mapInArrow(count, "span string, n long")
-    top = counts.groupBy("span").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "span").limit(keep)
-    return [r.span for r in top.collect()]
+    counts = cut(df.select(text).mapInArrow(count, "span string, n long"), "spans")
+    total = counts.where("span IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sums = counts.where("span IS NOT NULL").groupBy("span").agg(F.sum("n").alias("n")).where(F.col("n") * (4 * keep) >= total)
+    return [r.span for r in sums.orderBy(F.desc("n"), "span").limit(keep).collect()]
 
 
 class Lengths:
