@@ -93,8 +93,8 @@ class Pieces:
             texts = [data[a:b].replace(MARK.encode(), b" ") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         marked, starts, ends, first = marked_spans(raw, off)
-        entries = self.table.look_up(marked, starts, ends)
-        return self.table.gather(entries), per_text(self.table.lengths[entries], first)
+        ids, lengths = self.table.resolve(marked, starts, ends)
+        return ids, per_text(lengths, first)
 
 
 _workers: dict[str, Pieces] = {}

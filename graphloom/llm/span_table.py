@@ -67,10 +67,8 @@ class SpanTable:
             slot[open_] = (slot[open_] + 1) & (self.slots - 1)
         return entries
 
-    def look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    def _look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The entry of each span; those missing are encoded once, in one call."""
-        hashes = span_hashes(raw, starts, ends) if hashes is None else hashes
-        hashes[hashes == 0] = 1
         found = self.find(hashes)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
@@ -80,14 +78,24 @@ class SpanTable:
             self.clear()
             missing = np.arange(len(hashes))
             new, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(new) > self.capacity:
-                raise ValueError("a slice has more distinct spans than the table holds")
         at = missing[at]
-        data = raw.tobytes()
-        texts = [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         found[missing] = self._add(new, self.encode(texts))[back]
         return found
 
+    def resolve(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans one after the other, or none; the number of each span's), by blocks that the table can hold."""
+        hashes = span_hashes(raw, starts, ends) if hashes is None else hashes
+        hashes = np.maximum(hashes, np.uint64(1))
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        step = max(1, self.capacity // 2)
+        for a in range(0, len(starts), step):
+            entries = self._look_up(raw, starts[a : a + step], ends[a : a + step], hashes[a : a + step])
+            lengths.append(self.lengths[entries])
+            if ids:
+                flat.append(self.gather(entries))
+        return np.concatenate(flat), np.concatenate(lengths)
+
     def gather(self, entries: np.ndarray) -> np.ndarray:
         """The ids of entries, one after the other."""
         lengths = self.lengths[entries]

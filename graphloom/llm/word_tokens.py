@@ -145,8 +145,8 @@ class Vocabulary:
             found = self.encode([data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
             return np.fromiter((i for f in found for i in f), np.int32), np.fromiter(map(len, found), np.int64, len(found))
         low, starts, ends, first = spans(raw, off)
-        entries = self.table.look_up(low, starts, ends)
-        return self.table.gather(entries), per_text(self.table.lengths[entries], first)
+        ids, lengths = self.table.resolve(low, starts, ends)
+        return ids, per_text(lengths, first)
 
 
 _workers: dict[str, Vocabulary] = {}
@@ -238,9 +238,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048
                 hashes = span_hashes(low, starts, ends)
                 lengths = frequent.of(hashes)
                 missed = lengths < 0
-                table = vocabulary.table
-                entries = table.look_up(low, starts[missed], ends[missed], hashes[missed])
-                lengths[missed] = table.lengths[entries]
+                lengths[missed] = vocabulary.table.resolve(low, starts[missed], ends[missed], hashes[missed], ids=False)[1]
                 n_tokens.append(per_text(lengths, first))
             total = np.concatenate(n_tokens)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]

@@ -94,7 +94,7 @@ def test_random_texts_without_spark():
     v, p = word_tokens.Vocabulary(vocabulary(WORDS)), sentence_pieces.Pieces(vocabulary(PIECES))
     assert not v.whole and not p.whole
     for table, encode in ((v, lambda t: v.tokenizer.encode(t, add_special_tokens=False).ids), (p, p.model.encode)):
-        table.table.capacity = 3000  # fills up and starts anew
+        table.table.capacity = 500  # fills up and starts anew, within a slice too
         for a, b, raw, off in text_slices(pa.array(texts), 2000):
             ids, counts = table.ids(raw, off)
             ends = np.cumsum(counts)
