@@ -294,7 +294,7 @@ def groups(df: DataFrame, text: str = "text", least: float = LEAST, recall: floa
     roots = components(found.select(F.col("c").alias("a"), F.col("mate").alias("b"))).withColumnRenamed("node", "c")
     known = classes.select("c", "rep", "mult").join(links, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     known = cut(known, "known")
-    names = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    names = cut(known.groupBy("root").agg(F.min("rep").alias("class_id")), "names")
     known = known.join(names, "root").select(F.col("c").alias("k"), "class_id", F.col("rep").alias("copy_id"), F.col("mult").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     mine = F.when(F.col("doc_id").isNotNull(), F.col("c"))
     out = rows.select("doc_id", mine.alias("k")).join(known, "k", "left")
