@@ -73,9 +73,14 @@ def _bytes(chars: bytes) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LETTER = _bytes(bytes(range(97, 123)))
+_UPPER = _bytes(bytes(range(65, 91)))
+_LETTER = _bytes(bytes(range(97, 123))) | _UPPER
+#: Bytes of spans whose letters keep their case: of special tokens, which are looked for before anything is lowered, and of
+#: letters beyond ASCII, since NFC comes before lower case (T with a diaeresis stays two characters, t doesn't).
+_AS_IT_IS = _bytes(bytes([60, *range(128, 256)]))
 #: ASCII punctuation but the apostrophe, which begins contractions, and what special tokens begin and end with.
 _TAIL = _bytes(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<>|"))
+#: Letters that NFC leaves as they are; those that are capitals too are told apart by lower().
 _LETTERS = re.compile("[a-zß-öø-įıĳ-ſ]+").fullmatch
 #: Bytes of punctuation that are cut off at most; longer runs stay with their word.
 TAIL_BYTES = 6
@@ -84,13 +89,16 @@ TAIL_BYTES = 6
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first): ASCII letters in lower case, and spans whose ids follow one another.
 
-    The normaliser lowers letters anyway; spans with a `<` stay as they are, since special tokens are looked
-    for before that. Punctuation is cut off only behind an ASCII letter or one of U+00C0 to U+00FF.
+    The normaliser lowers letters anyway; spans with a `<` or with bytes beyond ASCII stay as they are. Punctuation is cut off only behind an ASCII letter or one of U+00C0 to U+00FF.
     """
     starts, ends, first = word_spans(raw, off)
     low = _LOWER[raw]
-    for at in np.unique(np.searchsorted(starts, np.flatnonzero(raw == 60), side="right") - 1):
-        low[starts[at] : ends[at]] = raw[starts[at] : ends[at]]
+    upper = np.flatnonzero(_UPPER[raw])
+    if len(starts) and len(upper):
+        stays = np.zeros(len(starts), bool)
+        stays[np.searchsorted(starts, np.flatnonzero(_AS_IT_IS[raw]), side="right") - 1] = True
+        upper = upper[stays[np.searchsorted(starts, upper, side="right") - 1]]
+        low[upper] = raw[upper]
     cut = ends.copy()
     open_ = np.arange(len(starts))
     for _ in range(TAIL_BYTES):
@@ -130,7 +138,7 @@ class Vocabulary:
         return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": levels[0] if levels else None, "added_tokens": []}))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        plain = [k for k, t in enumerate(texts) if _LETTERS(t)] if not self.whole else []
+        plain = [k for k, t in enumerate(texts) if _LETTERS(t) and t == t.lower()] if not self.whole else []
         rest = sorted(set(range(len(texts))).difference(plain))
         out: list[list[int]] = [[]] * len(texts)
         for places, tokenizer in ((plain, self.words), (rest, self.tokenizer)):

@@ -234,3 +234,20 @@ def test_large_near_copy_group(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == {d: n for (d, _), n in zip(rows, want)}
     assert {r.class_id for r in got} == {0}
     assert jaccard_join.runs_for(0.999, 0.8) == 10 and jaccard_join.matches_for(0.8) < 0.8 * 64
+
+
+def test_capitals_beyond_ascii_and_combining_marks():
+    """Ids of words that NFC or lower case changes, in any case: Latin Extended-A, and letters that have a mark in lower case only."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm.common import text_slices
+
+    v, r = word_tokens.Vocabulary(vocabulary(WORDS)), random.Random(2)
+    bits = [*map(chr, range(0xC0, 0x180)), *"THJWYthjwyaEZ", *"\u0308\u0331\u030c\u030a\u0301\u0323\u0307", ",", "!", " ", "<", "\u01c5"]
+    texts = ["Łódź", "Český", "Šport", "Žena", "Œuvre", "ŁÓDŹ,", "T\u0308", "H\u0331a", "J\u030c.", "W\u030aY\u030a"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    for a, b, raw, off in text_slices(pa.array(texts)):
+        ids, counts = v.ids(raw, off)
+        found = [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])]
+        assert found == [v.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[a:b]]
