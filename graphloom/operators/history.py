@@ -55,8 +55,25 @@ def long_values(graph: Graph) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _edges_of_deleted(graph: Graph, gone: DataFrame) -> list[DataFrame]:
+    """The graph's edges at either end of deleted objects (obj_id, typ, seq), one frame for each end of a reference that their types have."""
+    types = {r.typ for r in gone.select("typ").distinct().collect()}
+    parts = []
+    for owner, entity in graph.catalog.entities.items():
+        for r in entity.refs:
+            if r.side != "a" or r.edge not in graph.edges:
+                continue
+            links = graph.links(r).select(F.col("a").cast("string").alias("obj_a"), F.lit(r.key).alias("fld_a"), F.col("b").cast("string").alias("obj_b"), F.lit(r.inverse).alias("fld_b"))
+            for end, key in (("obj_a", owner), ("obj_b", r.target)):
+                kin = types & {*graph.catalog.descendants(key), *(e.key for e in graph.catalog.lineage(key))}
+                if kin:
+                    mine = gone.where(F.col("typ").isin(sorted(kin))).select(F.col("obj_id").alias(end), "seq")
+                    parts.append(links.join(F.broadcast(mine), end).select("obj_a", "fld_a", "obj_b", "fld_b", "seq", F.lit(False).alias("added")))
+    return parts
+
+
 def commit_events(graph: Graph, changes: DataFrame, commit_id: int, ts: dt.datetime, user: str) -> DataFrame:
-    """All events of one commit from a session's changes; what is set on an object that the commit deletes isn't listed, its edges are."""
+    """All events of one commit from a session's changes; what is set on an object that the commit deletes isn't listed, its edges are, those that the graph held before too."""
     deletes = last_write(changes.where(F.col("op").isin("create", "delete")).select("obj_id", "seq", "op", "typ"), ["obj_id"], ["seq"])
     gone = deletes.where("op = 'delete'")
     made = deletes.where("op = 'create'").select("obj_id", "seq", F.lit(CREATED).alias("type"), F.col("typ").alias("typ_id"))
@@ -65,10 +82,12 @@ def commit_events(graph: Graph, changes: DataFrame, commit_id: int, ts: dt.datet
     sets = changes.where("op = 'set'").select("obj_id", F.col("field").alias("fld_id"), "seq", F.col("value").alias("new_value"))
     values = long_values(graph).join(sets.select("obj_id").distinct(), "obj_id", "left_semi")
     fields = field_events(sets.join(gone.select("obj_id"), "obj_id", "left_anti"), values)
-    inverse = {(k, r.key): r.inverse for k in graph.catalog.entities for r in graph.catalog.refs(k).values()}
-    pairs = changes.sparkSession.createDataFrame([(*k, v) for k, v in inverse.items()] or [("", "", "")], "typ string, field string, fld_b string")
+    inverse = {(k, r.key): (r.inverse, r.side) for k in graph.catalog.entities for r in graph.catalog.refs(k).values()}
+    pairs = changes.sparkSession.createDataFrame([(*k, *v) for k, v in inverse.items()] or [("", "", "", "")], "typ string, field string, fld_b string, side string")
     linked = changes.where(F.col("op").isin("link", "unlink") & F.col("other").isNotNull()).join(F.broadcast(pairs), ["typ", "field"])  # as many rows as references in the catalog
-    linked = last_write(linked.select(F.col("obj_id").alias("obj_a"), F.col("field").alias("fld_a"), F.col("other").alias("obj_b"), "fld_b", "seq", (F.col("op") == "link").alias("added")), ["obj_a", "fld_a", "obj_b"], ["seq"])
+    ends = [F.when(F.col("side") == "a", F.col(x)).otherwise(F.col(y)) for x, y in (("obj_id", "other"), ("field", "fld_b"), ("other", "obj_id"), ("fld_b", "field"))]
+    linked = linked.select(*[e.alias(n) for e, n in zip(ends, ("obj_a", "fld_a", "obj_b", "fld_b"))], "seq", (F.col("op") == "link").alias("added"))
+    linked = last_write(reduce(DataFrame.unionByName, [linked, *_edges_of_deleted(graph, gone)]), ["obj_a", "fld_a", "obj_b", "fld_b"], ["seq"])
     parts = [made, lost, fields, edge_events(linked)]
     events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     events = events.withColumns({"commit_id": F.lit(commit_id).cast("long"), "ts": F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz"), "user_id": F.lit(user)})

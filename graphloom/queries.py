@@ -154,8 +154,9 @@ def _event_history(g: Graph) -> DataFrame:
     return history.field_events(_event_changes(g), base).select("obj_id", "fld_id", "seq", "old_value", "new_value")
 
 
-def _edges_both(g: Graph) -> DataFrame:
-    rows = g.tables["Order"].where("obj_id % 7 = 0").select(F.col("obj_id").alias("obj_a"), F.lit("Customer").alias("fld_a"), F.col("customer").alias("obj_b"), F.lit("Orders").alias("fld_b"), F.col("obj_id").alias("seq"), (F.col("Status") != "F").alias("added"))
+def _edges_both(g: Graph, orders: str = "true") -> DataFrame:
+    """Edge events of the orders for which a condition holds, of all of them if there is none."""
+    rows = g.tables["Order"].where(orders).select(F.col("obj_id").alias("obj_a"), F.lit("Customer").alias("fld_a"), F.col("customer").alias("obj_b"), F.lit("Orders").alias("fld_b"), F.col("obj_id").alias("seq"), (F.col("Status") != "F").alias("added"))
     return history.edge_events(rows)
 
 
@@ -170,31 +171,48 @@ _add("overlay_range", lambda g: changes.seek(_overlay(g), "obj_id", 100, 50), "S
 _add("delete_cascade", _cascade, "SELECT 'Customer' AS _typ, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Order_Customer', count(*) FROM orders WHERE o_custkey % 3 <> 0")
 _add("edge_changes", lambda g: changes.unlink(changes.link(g.links(CATALOG.ref("Order", "Customer")), g.links(CATALOG.ref("Order", "Customer")).where("a % 2 = 0")), g.tables["Customer"].where("obj_id % 4 = 0").select(F.col("obj_id").alias("b"))), "SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_custkey % 4 <> 0")
 _add("history_events", _event_history, "WITH l AS (SELECT user_id AS obj_id, event_type AS fld_id, event_id AS seq, value::DECIMAL(18,2)::VARCHAR AS new_value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) SELECT obj_id, fld_id, seq, CASE WHEN fld_id = 'click' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = obj_id) THEN '0' END AS old_value, new_value FROM l WHERE new_value IS DISTINCT FROM CASE WHEN fld_id = 'click' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = obj_id) THEN '0' END")
-_add("history_edges_both", _edges_both, "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus <> 'F' THEN 'AsoAdded' ELSE 'AsoRemoved' END AS t FROM orders WHERE o_orderkey % 7 = 0) SELECT k AS seq, t AS type, k AS obj_id, 'Customer' AS fld_id, c AS obj_b, 'Orders' AS fld_b FROM o UNION ALL SELECT k, t, c, 'Orders', k, 'Customer' FROM o")
+# its SQL asks for every seventh order; history_edges_all is the whole job
+_add("history_edges_both", lambda g: _edges_both(g, "obj_id % 7 = 0"), "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus <> 'F' THEN 'AsoAdded' ELSE 'AsoRemoved' END AS t FROM orders WHERE o_orderkey % 7 = 0) SELECT k AS seq, t AS type, k AS obj_id, 'Customer' AS fld_id, c AS obj_b, 'Orders' AS fld_b FROM o UNION ALL SELECT k, t, c, 'Orders', k, 'Customer' FROM o")
+_add("history_edges_all", _edges_both, "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus <> 'F' THEN 'AsoAdded' ELSE 'AsoRemoved' END AS t FROM orders) SELECT k AS seq, t AS type, k AS obj_id, 'Customer' AS fld_id, c AS obj_b, 'Orders' AS fld_b FROM o UNION ALL SELECT k, t, c, 'Orders', k, 'Customer' FROM o")
 _add("commits", lambda g: history.commits(_log(g), 20).select("commit_id", "n_events"), "SELECT dayofyear(ts) AS commit_id, count(*) AS n_events FROM events GROUP BY 1 ORDER BY 1 LIMIT 20")
 _add("commits_for_object", lambda g: history.commits_of(_log(g), 42), "SELECT DISTINCT dayofyear(ts) AS commit_id FROM events WHERE user_id = 42")
 _add("commit_by_id", lambda g: history.commit(_log(g), 10).select("obj_id", F.size("events").cast("long").alias("n"), F.col("events")[0].seq.alias("first")), "SELECT user_id AS obj_id, count(*) AS n, min(event_id) AS first FROM events WHERE dayofyear(ts) = 10 GROUP BY 1")
 _add("history_as_of", lambda g: history.as_of(_log(g), 100), "SELECT user_id AS obj_id, event_type AS fld_id, value::DECIMAL(18,2)::VARCHAR AS value FROM events WHERE dayofyear(ts) <= 100 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY dayofyear(ts) DESC, event_id DESC) = 1")
 
 
-def _session(g: Graph) -> DataFrame:
-    """A session's changes over one customer, as events of its commit."""
-    text = g.with_tables({"Customer": g.tables["Customer"].where("obj_id < 50").select(F.col("obj_id").cast("string").alias("obj_id"), "Name", "AcctBal", "Segment", "nation")})
-    small = Graph(g.catalog, {"Customer": text.tables["Customer"]}, {})
-    s = changes.Session(small)
+def _with_text_ids(g: Graph) -> Graph:
+    """The graph with text ids and its edges as tables, as sessions need it."""
+    tables = {k: t.withColumn("obj_id", F.col("obj_id").cast("string")) for k, t in g.tables.items()}
+    refs = {r.edge: r for e in g.catalog.entities.values() for r in e.refs if r.side == "a"}
+    edges = {n: g.links(refs[n]).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")) for n in g.edges}
+    return Graph(g.catalog, tables, edges)
+
+
+def _session(graph: Graph) -> DataFrame:
+    """A session's changes over three customers, as events of its commit."""
+    s = changes.Session(graph)
     s.set("Customer", "7", "Segment", "FIRST")
     s.set("Customer", "7", "Segment", "LAST")
     s.set("Customer", "8", "Segment", None)
     s.create("Customer", "new", Name="N")
     s.delete("Customer", "9")
-    events = history.commit_events(small, s.rows(), 1, dt.datetime(2026, 1, 1), "u")
-    return events.select("obj_id", "type", F.coalesce("fld_id", F.lit("")).alias("fld_id"), F.coalesce("old_value", F.lit("")).alias("old_value"), F.coalesce("new_value", F.lit("")).alias("new_value"))
+    events = history.commit_events(graph, s.rows(), 1, dt.datetime(2026, 1, 1), "u")
+    return events.select("obj_id", "type", *[F.coalesce(c, F.lit("")).alias(c) for c in ("fld_id", "obj_b", "fld_b", "old_value", "new_value")])
+
 
+# its SQL knows no edges; session_commit_edges is the whole job
+_add("session_commit", lambda g: _session(Graph(g.catalog, {"Customer": _with_text_ids(g).tables["Customer"]}, {})).drop("obj_b", "fld_b"), "SELECT c_custkey::VARCHAR AS obj_id, 'FldChanged' AS type, 'Segment' AS fld_id, c_mktsegment AS old_value, CASE WHEN c_custkey = 7 THEN 'LAST' ELSE '' END AS new_value FROM customer WHERE c_custkey IN (7, 8) UNION ALL SELECT '9', 'ObjDeleted', '', '', '' UNION ALL SELECT 'new', 'ObjCreated', '', '', '' UNION ALL SELECT 'new', 'FldChanged', 'Name', '', 'N'")
 
-_add("session_commit", _session, "SELECT c_custkey::VARCHAR AS obj_id, 'FldChanged' AS type, 'Segment' AS fld_id, c_mktsegment AS old_value, CASE WHEN c_custkey = 7 THEN 'LAST' ELSE '' END AS new_value FROM customer WHERE c_custkey IN (7, 8) UNION ALL SELECT '9', 'ObjDeleted', '', '', '' UNION ALL SELECT 'new', 'ObjCreated', '', '', '' UNION ALL SELECT 'new', 'FldChanged', 'Name', '', 'N'")
+
+_add("session_commit_edges", lambda g: _session(_with_text_ids(g)), """
+WITH e AS (SELECT o_orderkey::VARCHAR AS a, 'Customer' AS fa, '9' AS b, 'Orders' AS fb FROM orders WHERE o_custkey = 9 UNION ALL SELECT event_id::VARCHAR, 'User', '9', 'Events' FROM events WHERE user_id = 9 UNION ALL SELECT '9', 'Nation', c_nationkey::VARCHAR, 'Parties' FROM customer WHERE c_custkey = 9)
+SELECT c_custkey::VARCHAR AS obj_id, 'FldChanged' AS type, 'Segment' AS fld_id, '' AS obj_b, '' AS fld_b, c_mktsegment AS old_value, CASE WHEN c_custkey = 7 THEN 'LAST' ELSE '' END AS new_value FROM customer WHERE c_custkey IN (7, 8)
+UNION ALL SELECT '9', 'ObjDeleted', '', '', '', '', '' UNION ALL SELECT 'new', 'ObjCreated', '', '', '', '', '' UNION ALL SELECT 'new', 'FldChanged', 'Name', '', '', '', 'N'
+UNION ALL SELECT a, 'AsoRemoved', fa, b, fb, '', '' FROM e UNION ALL SELECT b, 'AsoRemoved', fb, a, fa, '', '' FROM e""")
 
 
 def _dumped(g: Graph) -> DataFrame:
+    """The lines of Nation and Region, which the SQL asks for; json_dump_all is the whole job."""
     small = Graph(g.catalog, {"Nation": g.tables["Nation"], "Region": g.tables["Region"]}, {"Region_Nations": g.edges["Region_Nations"]})
     lines = json_dump.object_lines(small)
     return lines.select(F.get_json_object("json", "$['$type']").alias("typ"), F.get_json_object("json", "$.Name").alias("name"), F.get_json_object("json", "$.Region").alias("region"))
@@ -203,6 +221,32 @@ def _dumped(g: Graph) -> DataFrame:
 _add("json_dump", _dumped, "SELECT 'Nation' AS typ, n_name AS name, n_regionkey::VARCHAR AS region FROM nation UNION ALL SELECT 'Region', r_name, NULL FROM region")
 
 
+def _dumped_all(g: Graph) -> DataFrame:
+    """The lines of the whole graph: each object's type and id (a line's is a hash that SQL doesn't know), one target and the number of all that lists name."""
+    lines = json_dump.object_lines(g)
+    value = lambda k: F.get_json_object("json", f"$.{k}")
+    kind = F.get_json_object("json", "$['$type']")
+    lists = [F.coalesce(F.json_array_length(value(k)), F.lit(0)) for k in ("Nations", "Parties", "Previous", "Orders", "Events", "Lines", "PartLines", "SupplierLines", "Children")]
+    one = F.coalesce(*map(value, ("Region", "Nation", "Customer", "Order", "User", "Parent")))
+    return lines.select(kind.alias("typ"), F.when(kind != "LineItem", F.col("obj_id")).alias("obj_id"), value("Name").alias("name"), one.alias("one"), sum(lists).cast("long").alias("n"))
+
+
+_add("json_dump_all", _dumped_all, """
+WITH p AS (SELECT n_nationkey AS k, count(*) AS n FROM (SELECT c_nationkey AS n_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1),
+b AS (SELECT (n_nationkey * 7 + 3) % 25 AS k, count(*) AS n FROM nation GROUP BY 1), r AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1),
+o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1), c AS (SELECT doc_id // 2 AS k, count(*) AS n FROM documents WHERE doc_id > 0 GROUP BY 1),
+lo AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), lp AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), ls AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'Region' AS typ, r_regionkey::VARCHAR AS obj_id, r_name AS name, NULL::VARCHAR AS one, coalesce(r.n, 0)::BIGINT AS n FROM region LEFT JOIN r ON r.k = r_regionkey
+UNION ALL SELECT 'Nation', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR, coalesce(p.n, 0) + coalesce(b.n, 0) FROM nation LEFT JOIN p ON p.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey
+UNION ALL SELECT 'Customer', c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, coalesce(o.n, 0) + coalesce(e.n, 0) FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey
+UNION ALL SELECT 'Supplier', (-1 - s_suppkey)::VARCHAR, s_name, s_nationkey::VARCHAR, coalesce(ls.n, 0) FROM supplier LEFT JOIN ls ON ls.k = s_suppkey
+UNION ALL SELECT 'Part', p_partkey::VARCHAR, p_name, NULL, coalesce(lp.n, 0) FROM part LEFT JOIN lp ON lp.k = p_partkey
+UNION ALL SELECT 'Order', o_orderkey::VARCHAR, NULL, o_custkey::VARCHAR, coalesce(lo.n, 0) FROM orders LEFT JOIN lo ON lo.k = o_orderkey
+UNION ALL SELECT 'LineItem', NULL, NULL, l_orderkey::VARCHAR, 0 FROM lineitem
+UNION ALL SELECT 'Event', event_id::VARCHAR, NULL, user_id::VARCHAR, 0 FROM events
+UNION ALL SELECT CASE WHEN quality IS NULL THEN 'Document' WHEN toxic = 1 THEN 'ToxicDocument' ELSE 'LabeledDocument' END, doc_id::VARCHAR, NULL, CASE WHEN doc_id > 0 THEN (doc_id // 2)::VARCHAR END, coalesce(c.n, 0) FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN c ON c.k = doc_id""")
+
+
 def flagship(spark: SparkSession, path: str) -> DataFrame:
     """Orders in a price range of customers in one market segment."""
     of_segment = Assoc("Customer", Text("Segment", "BUILDING", TextMatch.EXACT))

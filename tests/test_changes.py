@@ -91,6 +91,14 @@ def test_history(spark):
     assert events(spark, g, u) == [("a", "FldChanged", "Name", "old", None, "")]
 
 
+def test_delete_logs_edges_that_were_there(spark):
+    g = build(spark, FOLDERS, {k: (K, {"Name": k}) for k in "axyz"}, [(K, "z", "Parent", "a"), (K, "x", "Parent", "z"), (K, "y", "Parent", "a")])
+    s = Session(g)
+    s.unlink(K, "a", "Subfolders", "z")  # from the other end, and again by the delete: one removal
+    s.delete(K, "z")
+    assert [e for e in events(spark, g, s) if e[1] == "AsoRemoved"] == [("a", "AsoRemoved", "Subfolders", None, None, "z"), ("x", "AsoRemoved", "Parent", None, None, "z"), ("z", "AsoRemoved", "Parent", None, None, "a"), ("z", "AsoRemoved", "Subfolders", None, None, "x")]
+
+
 def test_commits(spark):
     ids_ = history.CommitIds()
     a, b = ids_.next(5.0), ids_.next(5.0)
