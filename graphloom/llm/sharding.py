@@ -45,7 +45,13 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     their place in the table, and shard_tie is 1 plus that directory's prefix with its depth in front (else 0).
     A single row over the limit has a bucket of its own. An empty table gives no rows. Other columns are left out.
     """
-    rows = cut(df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(key).alias("h")), "sizes")
+    return _placed(df, key, text, limit)
+
+
+def _placed(df: DataFrame, key: str, text: str, limit: int, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """What shard returns, with further columns of each row behind it."""
+    rows = cut(df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(key).alias("h"), *carried), "sizes")
+    kept = rows.columns[3:]
     rows = rows.withColumn("g", F.lit(0).cast("long"))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     depth, done, tie = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3), [], False
@@ -57,24 +63,28 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
             key, "n_bytes",
             (F.lit(BITS) if tie else F.col("s.d")).cast("int").alias("shard_depth"), (F.col("g") if tie else prefix).alias("shard_prefix"),
             (prefix + F.expr("shiftleft(CAST(1 AS BIGINT), s.d)") if tie else F.lit(0).cast("long")).alias("shard_tie"),
-            F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"), F.col("s").isNull().alias("open"), "h", "g",
+            F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"), F.col("s").isNull().alias("open"), "h", "g", *kept,
         )
         left = out.where("open").select("g").limit(1).count() if depth < BITS or not tie else 0
         done.append(out.where(~F.col("open")).drop("open", "h", "g"))
         if not left:
             break
-        rows = cut(out.where("open").select(key, "n_bytes", "h", "g"), "open")
+        rows = cut(out.where("open").select(key, "n_bytes", "h", "g", *kept), "open")
         if depth < BITS:
             depth = min(BITS, depth + 8)
         else:  # equal keys: the place in the table tells rows apart
-            rows, tie, depth = cut(rows.select(key, "n_bytes", hash_bits(F.monotonically_increasing_id(), seed="tie").alias("h"), F.col("h").alias("g")), "ties"), True, 24
+            rows, tie, depth = cut(rows.select(key, "n_bytes", hash_bits(F.monotonically_increasing_id(), seed="tie").alias("h"), F.col("h").alias("g"), *kept), "ties"), True, 24
     return reduce(DataFrame.unionByName, done)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """Write df to folders shard=<depth>-<prefix>-<tie>. One bucket is one task, and none is over the limit but for a single row."""
-    ids = shard(df, key, text, limit).select(key, F.concat_ws("-", "shard_depth", "shard_prefix", "shard_tie").alias("shard")).distinct()
-    df.join(ids, df[key].eqNullSafe(ids[key])).drop(ids[key]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write df to folders shard=<depth>-<prefix>-<tie>. One bucket is one task, and none is over the limit but for a single row.
+
+    Rows are carried through the split, so each is written once, in the shard decided for it: a key doesn't tell rows apart.
+    """
+    placed = _placed(df, key, text, limit, (F.struct(*df.columns).alias("_row"),))
+    out = placed.select("_row.*", F.concat_ws("-", "shard_depth", "shard_prefix", "shard_tie").alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 ORACLE = f"""

@@ -52,6 +52,22 @@ def test_sharding(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_write_shards(spark, tmp_path):
+    """Rows of one repeated key and of a null key, far over the limit together: each is written once, and no shard is over the limit."""
+    r = random.Random(8)
+    rows = [(k, "x" * r.randint(0, 60), k, "a") for k in range(100)] + [(7, "y" * r.randint(1, 60), 1000 + k, "b") for k in range(80)] + [(None, None if k % 9 == 0 else "z" * 30, 2000 + k, "c") for k in range(60)]
+    rows += [(7, "same", 3000, "d")] * 5 + [(8, "w" * 900, 4000, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, n_bytes string")  # names that the split uses itself
+    sharding.write_shards(docs, str(tmp_path / "s"), limit=400)
+    out = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(map(repr, (tuple(x)[:4] for x in out))) == sorted(map(repr, rows)) and out[0].asDict().keys() == {"doc_id", "text", "h", "n_bytes", "shard"}
+    shards = defaultdict(list)
+    for x in out:
+        shards[x.shard].append(len(x.text or ""))
+    assert all(sum(v) <= 400 or len(v) == 1 for v in shards.values())
+    assert len({x.shard for x in out if x.doc_id == 7}) > 5 and len({x.shard for x in out if x.doc_id is None}) > 3
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 1, "c": 10}, {"a": 1, "b": 2, "c": 3})
     assert t == {"b": 3.0, "c": 30.0, "a": 78.0}
