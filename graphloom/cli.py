@@ -9,6 +9,7 @@ import argparse
 import datetime as dt
 import importlib
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,18 +42,24 @@ def list_objects(graph: Graph, entity: str, limit: int = 200) -> DataFrame:
     return out.orderBy("obj_id")
 
 
-def show_object(graph: Graph, obj_id: str) -> list[list[str]]:
-    """Name and text of all fields of an object, and of its references with the types of their targets."""
+def show_object(graph: Graph, obj_id: str) -> Iterator[tuple[str, str]]:
+    """Name and text of all fields of an object, and of its references one for each target with its type, every target; the driver holds one partition of them at a time."""
     found = graph.objects().where(F.col("obj_id") == obj_id).first()
     if found is None:
         raise SystemExit(f"no object {obj_id}")
     key = found[TYPE]
     row = graph.lookup(key, obj_id).first()
-    out = [["type", key]] + [[f.key, encode(row[f.key], f.type, f.variants)] for f in graph.catalog.fields(key).values()]
+    yield "type", key
+    for f in graph.catalog.fields(key).values():
+        yield f.key, encode(row[f.key], f.type, f.variants)
     for r in graph.catalog.refs(key).values():
         far = graph.expand(graph.lookup(key, obj_id), key, r.key).join(graph.objects().withColumnRenamed("obj_id", "b"), "b")
-        out.append([r.key, ", ".join(f"{x.b} ({x[TYPE]})" for x in far.orderBy("b").limit(20).collect())])
-    return out
+        shown = False
+        for x in far.orderBy("b").toLocalIterator():
+            shown = True
+            yield r.key, f"{x.b} ({x[TYPE]})"
+        if not shown:
+            yield r.key, ""
 
 
 def assign(session: Session, entity: str, obj_id: str, pairs: list[str], add: bool = False) -> None:
@@ -114,7 +121,8 @@ def main(args: list[str] | None = None) -> int:
         frame = list_objects(graph, a.type, a.limit)
         print(table(frame.columns, [["" if c is None else c for c in r] for r in frame.collect()]))
     elif a.action == "show":
-        print(table(["name", "value"], show_object(graph, a.id)))
+        for name, value in show_object(graph, a.id):  # line by line and uncut, since there may be any number
+            print(f"{name}: {value}".rstrip())
     else:
         session = Session(graph)
         obj_id = session.create(a.type, a.id) if a.action == "create" else a.id

@@ -99,6 +99,14 @@ def test_delete_logs_edges_that_were_there(spark):
     assert [e for e in events(spark, g, s) if e[1] == "AsoRemoved"] == [("a", "AsoRemoved", "Subfolders", None, None, "z"), ("x", "AsoRemoved", "Parent", None, None, "z"), ("z", "AsoRemoved", "Parent", None, None, "a"), ("z", "AsoRemoved", "Subfolders", None, None, "x")]
 
 
+def test_show_lists_every_target(spark):
+    children = [f"child-with-a-long-name-{k:03}" for k in range(70)]
+    g = build(spark, FOLDERS, {k: (K, {"Name": "n" * 90}) for k in ["a", *children]}, [(K, c, "Parent", "a") for c in children])
+    shown = list(cli.show_object(g, "a"))
+    assert [tuple(x) for x in shown if x[0] == "Subfolders"] == [("Subfolders", f"{c} ({K})") for c in children]
+    assert ("Parent", "") in shown and ("Name", "n" * 90) in shown
+
+
 def test_commits(spark):
     ids_ = history.CommitIds()
     a, b = ids_.next(5.0), ids_.next(5.0)
