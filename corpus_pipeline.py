@@ -17,14 +17,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of similar ones; equal rows once. Rows without a doc_id stay."""
-    groups = jaccard_join.groups(docs.select("doc_id", "text"))
-    others = cut(groups.where("class_id <> doc_id").select("doc_id").distinct(), "others")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-        kept = named.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """The document with the smallest doc_id of each group of similar ones; equal rows once. Rows without a doc_id stay.
+
+    Rows of one doc_id with different texts are decided one by one, by their sets of shingles.
+    """
+    groups = jaccard_join.groups(docs.select("doc_id", "text"), keys=True)
+    others = cut(groups.where("class_id <> doc_id").select("doc_id", "set_key").distinct(), "others")
+    twice = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(twice, "doc_id", "left_anti").join(others, "doc_id", "left_anti").select(*docs.columns)
+    more = jaccard_join.with_set_keys(docs.join(twice, "doc_id", "left_semi").select(*docs.columns))
+    more = more.join(others, ["doc_id", "set_key"], "left_anti").select(*docs.columns)
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,20 @@ def class_key(shingles: np.ndarray) -> int:
     return int(mix64(mix64(shingles).sum(keepdims=True) ^ np.uint64(len(shingles)))[0].astype(np.int64))
 
 
+def with_set_keys(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with set_key, the name of each text's set of shingles, null for a text without words."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[int | None] = []
+            for _, _, raw, off in text_slices(batch.column(batch.schema.get_field_index(text))):
+                keys += [None if s is None else class_key(s) for s in shingle_sets(raw, off)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "set_key"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("set_key", T.LongType())]))
+
+
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("c", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType(), False))])
 
 
@@ -279,7 +293,7 @@ def similar_pairs(df: DataFrame, text: str = "text", least: float = LEAST, recal
     return out.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
 
 
-def groups(df: DataFrame, text: str = "text", least: float = LEAST, recall: float = RECALL) -> DataFrame:
+def groups(df: DataFrame, text: str = "text", least: float = LEAST, recall: float = RECALL, keys: bool = False) -> DataFrame:
     """doc_id, class_id, copy_id, n_copies and n_links of each row of df.
 
     Words are runs of anything but ASCII white space, unchanged. class_id is the smallest doc_id that a row leads
@@ -287,7 +301,7 @@ def groups(df: DataFrame, text: str = "text", least: float = LEAST, recall: floa
     and n_links the number of rows that a row is linked to, copies counted. A text with fewer than five words has
     them all as its one shingle; a null or empty text, and a row without a doc_id, has no links (n_links and
     n_copies 0, class_id and copy_id its own doc_id). Rows with the same doc_id are rows like others. Only doc_id and
-    the text are read; texts are read whole.
+    the text are read; texts are read whole. With `keys`, set_key is what with_set_keys gives for the row, null without a doc_id.
     """
     rows, classes, found = _join(df, text, least, recall, False)
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
@@ -299,4 +313,5 @@ def groups(df: DataFrame, text: str = "text", least: float = LEAST, recall: floa
     mine = F.when(F.col("doc_id").isNotNull(), F.col("c"))
     out = rows.select("doc_id", mine.alias("k")).join(known, "k", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"))
+    named = [F.col("k").alias("set_key")] if keys else []
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"), *named)

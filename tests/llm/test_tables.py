@@ -68,6 +68,17 @@ def test_write_shards(spark, tmp_path):
     assert len({x.shard for x in out if x.doc_id == 7}) > 5 and len({x.shard for x in out if x.doc_id is None}) > 3
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with several texts loses only those that are copies of other documents'."""
+    base, one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    near = base.replace("a39", "new")
+    rows = [(0, base), (14, base), (14, one), (14, one), (14, two), (15, near), (16, two), (None, base), (17, None), (17, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(map(repr, [(0, base), (14, one), (14, two), (None, base), (17, None), (17, "")]))
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 1, "c": 10}, {"a": 1, "b": 2, "c": 3})
     assert t == {"b": 3.0, "c": 30.0, "a": 78.0}
