@@ -139,11 +139,41 @@ def test_codes_leave_most_vectors_out():
     x[:200] += 3 * x[0]
     turn = vector_search.rotation(64).T
     assert np.allclose(turn @ turn.T, np.eye(64))
-    norms = np.sqrt((x.astype(float) ** 2).sum(1))
-    turned = x @ turn / norms[:, None]
-    ids, scores, ranked = vector_search.search_block(np.arange(3000), np.where(turned > 0, 1.0, -1.0).astype(np.float32), norms, np.abs(turned).sum(1) / 8, x, np.zeros(64), turn, x[0], 0, 20)
-    exact = x.astype(float) @ x[0].astype(float)
-    assert set(ids) == set(np.argsort(-np.where(np.arange(3000) == 0, -1e9, exact))[:20]) and ranked < 1500
+    for bits, most in ((64, 1500), (256, 700)):
+        turn = vector_search.rotation(64, bits)
+        assert np.allclose(turn @ turn.T, np.eye(64))
+        block = vector_search.Block(np.arange(3000), *vector_search.encode_block(x, np.zeros(64), turn), x, np.zeros(64), turn)
+        place, ids, scores, ranked = block.search(x[:1], np.array([0]), np.array([-np.inf]), 20)
+        exact = x.astype(float) @ x[0].astype(float)
+        assert ids.tolist() == np.argsort(-np.where(np.arange(3000) == 0, -1e9, exact), kind="stable")[:20].tolist() and ranked < most
+        assert block.search(x[:1], None, np.array([scores[9]]), 20)[1].tolist()[1:] == ids.tolist()[:10]  # nothing under the floor, but itself
+
+
+def test_many_vectors_in_cells(spark, monkeypatch):
+    """20,000 clustered vectors, one of them in a third of all rows, doubles beyond the range of floats: every result equals brute force, and cells are left out."""
+    import numpy as np
+
+    g = np.random.RandomState(7)
+    x = g.randn(40, 24)[g.randint(0, 40, 20000)] * 3 + g.randn(20000, 24) * 0.4
+    x[::3] = x[0]
+    x[5] = 0.0
+    x[7] *= 1e60
+    df = spark.createDataFrame([(k, v.tolist(), 1.0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, score double").repartition(6)
+    monkeypatch.setattr(vector_search, "BLOCK", 500)
+    monkeypatch.setattr(vector_search, "QUERIES", 100)
+    asked = []
+    inner = vector_search._search
+    monkeypatch.setattr(vector_search, "_search", lambda index, cells, rows, *a: (asked.append((len(cells.centres), rows)), inner(index, cells, rows, *a))[1])
+    got = defaultdict(list)
+    for r in vector_search.nearest(df, df.where("vec_id % 200 = 0"), 20).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert len(got) == 100
+    there = np.flatnonzero(x.any(axis=1))
+    for q, rows in got.items():
+        scores = vector_search.exact(x[there], np.broadcast_to(x[q], (len(there), 24)))
+        order = np.lexsort((there, -np.where(there == q, -np.inf, scores)))[:20]
+        assert [v for _, v in sorted(rows)] == there[order].tolist()
+    assert asked[0][0] > 20 and asked[1][1].count() < 0.5 * 100 * asked[0][0]
 
 
 def test_chat(spark):
