@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,40 +23,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; only where it is unset (local tests) one is made here.
+    """A new folder under spark.checkpoint.dir, which all executors see. Only a local session without that setting gets a folder of its own; a cluster must name one.
 
     Files stay until the owner of that folder removes them, since the frames returned by operators read them.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("graphloom.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="graphloom-")
-            spark.conf.set("graphloom.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        base = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("graphloom.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and the shuffles behind it can go."""
+    """Write df to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.options(**options).parquet(path)
-    schema = df.schema
-    del df
-    for _ in range(2):  # shuffle files go once their plan is collected, which takes two collections: of the plan, then of its references
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished plans go: call it after a large shuffle whose result was cut. They go once their plan is collected, which takes two collections: of the plan, then of its references."""
+    for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Keep Arrow batches of whole texts small, so that a worker's memory is bounded by a few texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, so that a worker holds a few texts however long they are.
+
+    Frames are run after the operator has returned, under the session's settings of that time, so this can't be taken
+    back here. Where the caller has set the bound, it stays theirs.
+    """
+    if spark.conf.get(_BATCHES) == _default_batches(spark):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _default_batches(spark: SparkSession) -> str:
+    now = spark.conf.get(_BATCHES)
+    spark.conf.unset(_BATCHES)
+    default = spark.conf.get(_BATCHES)
+    if now != default:
+        spark.conf.set(_BATCHES, now)
+    return default
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -115,24 +130,6 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTE = seeded(256, 11)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = power_of_two(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
-
-
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text (and one past the last) the index of its first word."""
     n = len(raw)
@@ -148,19 +145,68 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, by prefix sums over blocks of bytes, so no word is touched in Python."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + limit)))
-        low, high = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[raw[low:high]] * _power(_BASE, high - low), out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        h = (sums[e] - sums[s]) * _power(_BASE_INVERSE, high - low)[s]
-        out[i:j] = mix64(h ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        i = j
+_KEYS = seeded(8, 11) | np.uint64(1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Steps of a span that are hashed one after the other; longer spans are hashed piece by piece, and the pieces' hashes likewise.
+STEPS = 8
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number; zeros behind the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _short(at_place: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Hashes of spans of at most STEPS * 8 bytes: each 8 bytes are mixed in under a key of their place, so no sum of bytes can cancel out."""
+    h = mix64(lengths.astype(np.uint64) * key[0] + key[1])
+    open_ = np.arange(len(starts))
+    for k in range(STEPS):
+        left = lengths[open_] - 8 * k
+        if k:
+            open_, left = open_[left > 0], left[left > 0]
+        if not len(open_):
+            break
+        word = at_place[starts[open_] + 8 * k] & _MASKS[np.clip(left, 0, 8)]
+        h[open_] = mix64((h[open_] ^ word) * key[2] + key[3])
+    return h
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, 8 bytes at a step; different seeds give independent hashes."""
+    key = mix64(_KEYS + np.uint64(seed)) | np.uint64(1)
+    at_place = eights(raw)
+    lengths = (ends - starts).astype(np.int64)
+    whole = 8 * STEPS
+    if not (lengths > whole).any():
+        return _short(at_place, starts, lengths, key)
+    out = np.zeros(len(starts), np.uint64)
+    long_ = lengths > whole
+    out[~long_] = _short(at_place, starts[~long_], lengths[~long_], key)
+    # pieces of STEPS * 8 bytes, then groups of STEPS of their hashes, until one is left of each span
+    size = lengths[long_]
+    n = -(-size // whole)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    values = _short(at_place, starts[long_][owner] + whole * place, np.minimum(whole, size[owner] - whole * place), key)
+    done = np.zeros(len(n), np.uint64)
+    span = np.arange(len(n))
+    while len(n):
+        begin = np.cumsum(n) - n
+        one = n == 1
+        done[span[one]] = values[begin[one]]
+        span, n, begin = span[~one], n[~one], begin[~one]
+        m = -(-n // STEPS)
+        owner = np.repeat(np.arange(len(m)), m)
+        first = begin[owner] + STEPS * (np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m))
+        left = np.minimum(STEPS, (begin + n)[owner] - first)
+        h = np.full(len(owner), key[4])
+        for k in range(STEPS):
+            some = left > k
+            h[some] = mix64((h[some] ^ values[first[some] + k]) * key[5] + key[6])
+        values, n = h, m
+    out[long_] = mix64((done ^ size.astype(np.uint64)) * key[7])
     return out
 
 

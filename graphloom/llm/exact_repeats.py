@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, grouped, power_of_two, small_batches, span_hashes, text_bytes, text_slices, window_hashes, window_starts, word_spans
+from .common import cut, grouped, power_of_two, span_hashes, text_batches, text_bytes, text_slices, window_hashes, window_starts, word_spans
 
 WINDOW = 13
 #: Bytes of text behind one bucket (about a million probes), behind one group of documents, and of a slice.
@@ -244,7 +244,7 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WINDOW, separ
     like results are replaced. doc_id must be a whole number; other columns are kept, their types too.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    text_batches(spark)
     block = (width + 1) // 2
     others = [c for c in df.columns if c not in ("doc_id", text, "n_words", "n_removed")]
     docs = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), *([F.struct(*others).alias("others")] if others else []))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, flat_lists, mix64, seeded, small_batches, span_hashes, text_slices, whole_groups, window_hashes, word_spans
+from .common import cut, flat_lists, mix64, seeded, span_hashes, text_batches, text_slices, whole_groups, window_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -81,7 +81,7 @@ def class_key(shingles: np.ndarray) -> int:
 
 def with_set_keys(df: DataFrame, text: str = "text") -> DataFrame:
     """df with set_key, the name of each text's set of shingles, null for a text without words."""
-    small_batches(df.sparkSession)
+    text_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +269,7 @@ def _verified(least: float, pairs: bool) -> Callable:
 
 def _join(df: DataFrame, text: str, least: float, recall: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = df.sparkSession
-    small_batches(spark)
+    text_batches(spark)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = cut(docs.mapInArrow(_signatures, ROWS), "signatures")
     named = rows.where(F.col("doc_id").isNotNull() & F.col("c").isNotNull())

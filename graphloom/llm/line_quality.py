@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, mix64, small_batches, span_hashes, text_slices, window_hashes, window_starts, word_spans
+from .common import SPACES, mix64, span_hashes, text_batches, text_slices, window_hashes, window_starts, word_spans
 from .sharding import hash_bits
 
 #: Labelled documents to train on, and lines of each, at most.
@@ -234,7 +234,7 @@ def rate(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True
     Words are runs of anything but ASCII white space. A null or empty text has no words, so it fails the
     base rules. Rows are rated one by one, repeated ones alike; a text of any length is read whole.
     """
-    small_batches(df.sparkSession)
+    text_batches(df.sparkSession)
     kept = [f for f in df.schema if f.name not in COLUMNS]
     out = [f for f in kept if keep_text or f.name != text]
     kinds = [T.LongType()] * 6 + [T.BooleanType()] * 2

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, small_batches, text_slices
+from .common import list_array, text_batches, text_slices
 from .span_table import SpanTable, per_text
 
 MARK = "▁"
@@ -112,7 +112,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
     A null text is empty and has no ids. Rows are kept as they are, repeated ones too; a column
     named like the result is replaced. A word of any length is segmented whole.
     """
-    small_batches(df.sparkSession)
+    text_batches(df.sparkSession)
     columns = [c for c in df.columns if c != ids]
     kept = [df.schema[c] for c in columns if keep_text or c != text]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -134,7 +134,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
     Null lists are empty and give an empty text; null ids within a list are left out. A column named
     like the result is replaced.
     """
-    small_batches(df.sparkSession)
+    text_batches(df.sparkSession)
     columns = [c for c in df.columns if c != text]
     kept = [df.schema[c] for c in columns if keep_ids or c != ids]
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, shared_folder, small_batches, text_slices
+from .common import list_array, shared_folder, text_batches, text_slices
 from .word_tokens import worker_vocabulary
 
 #: Row groups and pages of the files. Version 2 pages write plain numbers as deltas; ids of a vocabulary go by dictionary.
@@ -49,7 +49,7 @@ def write_token_ids(df: DataFrame, vocabulary_path: str, path: str, text: str =
     rows is spread. Null texts are empty (the end id alone); null doc_ids come first; rows with the same
     doc_id are all written, in an order that depends on their texts alone. Other columns are left out.
     """
-    small_batches(df.sparkSession)
+    text_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_vocabulary(vocabulary_path)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, span_hashes, text_slices, word_spans
-from .span_table import SpanTable, per_text
+from .common import cut, span_hashes, text_batches, text_slices, word_spans
+from .span_table import KEPT_BYTES, SpanTable, per_text
 
 #: Spans whose lengths are broadcast, and spans that each task reports to find them.
 FREQUENT = 65_536
@@ -58,6 +58,8 @@ def splits_at_spaces(path: str) -> bool:
         and pre[0]["pattern"].get("Regex", "") == PATTERN
         and any(n["type"] == "Lowercase" for n in norm)
         and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
+        # special tokens are told by their `<`, and nothing is cut off behind their `>`
+        and all(t["content"][:1] == "<" and t["content"][-1:] == ">" for t in spec["added_tokens"])
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         and spec["model"]["type"] == "BPE"
         and not spec["model"]["dropout"]
@@ -197,37 +199,38 @@ def frequent_spans(df: DataFrame, text: str = "text", keep: int = FREQUENT, per_
 
 
 class Lengths:
-    """The first tier: a sorted table of hashes and lengths in a few hundred kB."""
+    """The first tier: the lengths of frequent spans, with their bytes, in about a MB."""
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
-        order = np.argsort(hashes)
-        self.table = SpanTable(lambda texts: [], max(1024, len(hashes)))
-        self.table._add(hashes[order], [[int(n)] for n in lengths[order]])
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
+        starts = np.append(np.zeros(1, np.int64), ends)[: len(ends)]
+        hashes = np.maximum(span_hashes(raw, starts, ends), np.uint64(1))
+        _, at = np.unique(hashes, return_index=True)
+        self.table = SpanTable(lambda texts: [], max(1024, len(at)))
+        self.table.add(raw, starts[at], ends[at], hashes[at], [[int(n)] for n in lengths[at]])
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The length of each span, -1 where the table doesn't have it."""
-        found = self.table.find(hashes)
-        return np.where(found < 0, -1, self.table.ids[np.maximum(found, 0)]) if self.table.n else np.full(len(hashes), -1)
+        found = self.table.find(np.maximum(hashes, np.uint64(1)))
+        there = self.table.same(raw, starts, ends, found)
+        return np.where(there, self.table.ids[np.where(there, found, 0)], -1)
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, keep: int = FREQUENT) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit of each whole text, without any shuffle of its spans.
 
-    First tier: a broadcast table of the lengths of at most `keep` frequent spans, 9 bytes each.
+    First tier: a broadcast table of at most `keep` frequent spans of at most KEPT_BYTES bytes, and their lengths.
     Second tier: spans missing there are encoded once for each worker, whose table is bounded.
     Null texts are empty (0 bytes, 0 tokens). Columns of df named like results are replaced; rows
     are kept as they are, repeated ones too. Very long texts are split, never cut.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    text_batches(spark)
     driver = Vocabulary(path)
     words = [] if driver.whole else frequent_spans(df, text, keep)
-    raw = np.frombuffer("".join(words).encode(), np.uint8)
-    end = np.cumsum([len(w.encode()) for w in words]).astype(np.int64)
-    hashes = span_hashes(raw, np.append(np.zeros(1, np.int64), end[:-1])[: len(words)], end)
+    words = [w for w in words if len(w.encode()) <= KEPT_BYTES]
     lengths = np.array([len(i) for i in driver.encode(words)], np.int64)
-    short = lengths < 256
-    packed = spark.sparkContext.broadcast((hashes[short], lengths[short].astype(np.uint8)))
+    ends = np.cumsum([len(w.encode()) for w in words]).astype(np.int64)
+    packed = spark.sparkContext.broadcast((np.frombuffer("".join(words).encode(), np.uint8), ends, lengths))
     kept = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     fields = [df.schema[c] for c in kept if c != text]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
@@ -244,7 +247,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048
                     continue
                 low, starts, ends, first = spans(raw, off)
                 hashes = span_hashes(low, starts, ends)
-                lengths = frequent.of(hashes)
+                lengths = frequent.of(low, starts, ends, hashes)
                 missed = lengths < 0
                 lengths[missed] = vocabulary.table.resolve(low, starts[missed], ends[missed], hashes[missed], ids=False)[1]
                 n_tokens.append(per_text(lengths, first))

@@ -251,3 +251,66 @@ def test_capitals_beyond_ascii_and_combining_marks():
         ids, counts = v.ids(raw, off)
         found = [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])]
         assert found == [v.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[a:b]]
+
+
+def thue_morse(n, a="a", b="b"):
+    """The two words of n letters whose polynomial hashes modulo a power of two are the same for every odd base."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    """Thue-Morse words differ in ids, lines, windows and repeats."""
+    import sentencepiece
+
+    x, y = thue_morse(1024)
+    v, w = thue_morse(2048, "ab ", "ba ")
+    model, tk = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES)), tokenizer()
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(0, f"{x} {rest}"), (1, f"{y} {rest}"), (2, f"{x}\n{y}\n{x}"), (3, v), (4, w), (5, " ".join([x] * 5)), (6, " ".join([y] * 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = {r.doc_id: r.ids for r in sentence_pieces.encode(docs, vocabulary(PIECES)).collect()}
+    assert ids == {d: model.encode(t) for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in word_tokens.token_counts(docs, vocabulary(WORDS)).collect()} == {d: len(tk.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    files = token_files.round_trip(docs, vocabulary(WORDS)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in files} == {d: zlib.crc32(struct.pack(f"<{len(i)}I", *i)) for d, t in rows for i in [[*tk.encode(t, add_special_tokens=False).ids, 1]]}
+    assert sorted(map(tuple, exact_repeats.digests(docs).collect())) == sorted(removed(rows))
+    counts = line_quality.rate(docs, line_quality.PRIOR).select("doc_id", *[c for c in line_quality.COLUMNS if c not in ("n_content_words", "kept")]).collect()
+    assert sorted(map(tuple, counts)) == sorted((d, *base_counts(t)) for d, t in rows)
+    groups = {r.doc_id: r.class_id for r in jaccard_join.groups(docs).collect()}
+    assert (groups[1], groups[4], groups[5], groups[6]) == (0, 3, 5, 6)  # 0 and 1 share 8 of 10 windows, 3 and 4 have the same ones
+
+
+def test_ids_are_right_whatever_the_hashes_are(monkeypatch):
+    """With hashes that nearly all collide the bytes decide, and words too long for the table are encoded where they stand."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import span_table
+    from graphloom.llm.common import text_slices
+
+    monkeypatch.setattr(span_table, "span_hashes", lambda raw, starts, ends: ((ends - starts) % 3 + 1).astype(np.uint64) << np.uint64(62))
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 12))) for _ in range(r.randint(0, 9))) for _ in range(400)] + ["x" * 500 + " " + "y" * 129, "y" * 128 + "z", "y" * 128]
+    v, p = word_tokens.Vocabulary(vocabulary(WORDS)), sentence_pieces.Pieces(vocabulary(PIECES))
+    for table, encode in ((v, lambda t: v.tokenizer.encode(t, add_special_tokens=False).ids), (p, p.model.encode)):
+        for a, b, raw, off in text_slices(pa.array(texts), 900):
+            ids, counts = table.ids(raw, off)
+            assert [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])] == [encode(t) for t in texts[a:b]]
+        assert table.table.n <= 3
+
+
+def test_span_hashes_depend_on_their_bytes_alone():
+    import numpy as np
+
+    from graphloom.llm.common import span_hashes
+
+    r = np.random.RandomState(0)
+    words = {bytes(r.randint(97, 123, n).astype(np.uint8)) for n in [*range(1, 150), 512, 513, 4096, 4097, 40000]} | {b"", b"\0", b"\0\0", b"a", b"a\0"} | {w.encode() for n in (64, 1024, 65536) for w in thue_morse(n)}
+    words = sorted(words)
+    raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    h = span_hashes(raw, starts, ends)
+    assert len(set(h.tolist())) == len(words) and not (h == span_hashes(raw, starts, ends, 1)).any()
+    assert h.tolist() == [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
