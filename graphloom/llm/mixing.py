@@ -12,15 +12,18 @@ from __future__ import annotations
 from collections import deque
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .sharding import BITS, hash_bits
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the selection key that one round tells apart.
-DIGIT = 12
+DIGIT = 15
+#: Rows of a small table up to which it is broadcast; more patterns than that are joined.
+BROADCAST_ROWS = 10_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -93,7 +96,9 @@ def route(supply: dict[str, int], members: dict[str, list], quota: dict, most: i
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # one row for each pattern
+    """A row for each pattern."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
 
 
 def _select(rows: DataFrame, rest: dict[str, int], keys: list[tuple[str, int]]) -> dict[str, list[int]]:
@@ -119,11 +124,8 @@ def _select(rows: DataFrame, rest: dict[str, int], keys: list[tuple[str, int]])
             same = reduce(lambda a, b: a & b, [F.col(keys[j][0]) == F.col(f"k{j}") for j in range(i)], F.lit(True))
             here = here.where(same & (F.shiftright(key, low + width) == F.col("prefix")))
             sums = here.groupBy("pattern", "rest", F.shiftright(key, low).alias("digit")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
-            sums.createOrReplaceTempView("graphloom_sums")
-            passed = spark.sql(
-                "SELECT pattern, min(struct(digit, c - b AS below, b, n)) AS x FROM (SELECT *, sum(b) OVER (PARTITION BY pattern ORDER BY digit) AS c FROM graphloom_sums) WHERE c > rest GROUP BY pattern"
-            ).collect()
-            spark.catalog.dropTempView("graphloom_sums")
+            upto = F.sum("b").over(Window.partitionBy("pattern").orderBy("digit"))
+            passed = sums.withColumn("c", upto).where("c > rest").groupBy("pattern").agg(F.min(F.struct("digit", (F.col("c") - F.col("b")).alias("below"), "b", "n")).alias("x")).collect()
             found = {r.pattern: r.x for r in passed}
             for p in sorted(open_):
                 if p not in found:  # all rows fit
@@ -143,22 +145,34 @@ def _select(rows: DataFrame, rest: dict[str, int], keys: list[tuple[str, int]])
     return bounds
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return any(_has_map(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else isinstance(kind, T.MapType)
+
+
 def mix(df: DataFrame, sources: str = "sources", size: str = "size", key: str = "doc_id", weights=None, most: int = 3, seed: str = "mix") -> DataFrame:
     """df with source_size and target (of the first of its sources) and taken, the words the mix takes of it.
 
     `sources` is an array column: all sources that a row belongs to, null elements included; a row without any
     has taken 0 and a null target. Sources are in code point order, null last. `weights` maps the list of them
     to a dict of whole numbers; by default they weigh 1, 2, 3, repeating. `size` is 0 where null. Each row is
-    taken a whole number of times, at most `most`; rows of equal key are told apart by size, then by place.
-    A pattern's selection misses its flow by at most half a document. An empty table gives no rows. df
-    should be a table at rest: it is read twice, once for sizes and keys, which the selection then works on.
+    taken a whole number of times, at most `most`; rows of equal key are told apart by size, then by their other
+    columns; rows that are alike in all of them are alike to the mix too, and their place decides. So a rerun takes
+    the same rows however the table is split. A pattern's selection misses its flow by at most half a document. An
+    empty table gives no rows. The driver holds a row for each pattern and for each source.
     """
     spark = df.sparkSession
     free = lambda name: name if name not in df.columns else free(name + "_")
-    pattern, h, place = free("pattern"), free("h"), free("place")
+    pattern, h, content, place = free("pattern"), free("h"), free("content"), free("place")
     kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
-    full = df.select(*kept).withColumns({pattern: F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))), {"ignoreNullFields": "false"}), size: F.coalesce(size, F.lit(0)).cast("long"), h: hash_bits(key, seed=seed), place: F.monotonically_increasing_id()})
-    rows = cut(full.select(F.col(pattern).alias("pattern"), sources, F.col(size).alias("size"), F.col(h).alias("h"), F.col(place).alias("place")), "sizes")
+    plain = [c for c in kept if not _has_map(df.schema[c].dataType)]
+    full = df.select(*kept).withColumns({
+        pattern: F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))), {"ignoreNullFields": "false"}),
+        size: F.coalesce(size, F.lit(0)).cast("long"), h: hash_bits(key, seed=seed), content: F.shiftrightunsigned(F.xxhash64(*plain), 4), place: F.monotonically_increasing_id(),
+    })
+    full = cut(full, "full")  # places are fixed here, for the selection and for what is returned
+    rows = full.select(F.col(pattern).alias("pattern"), sources, F.col(size).alias("size"), F.col(h).alias("h"), F.col(content).alias("content"), F.col(place).alias("place"))
     totals = rows.withColumnRenamed("pattern", pattern).groupBy(pattern).agg(F.sum("size").alias("n"), F.first(F.array_sort(F.array_distinct(sources))).alias("members")).collect()
     members = {r[pattern]: list(r.members or []) for r in totals}
     supply = {r[pattern]: int(r.n) for r in totals if r.members}
@@ -170,12 +184,12 @@ def mix(df: DataFrame, sources: str = "sources", size: str = "size", key: str =
     flow = {p: 0 for p in members} | route(supply, members, quota, most)
     copies = {p: flow[p] // supply[p] if supply.get(p) else 0 for p in members}
     rest = {p: flow[p] - copies[p] * supply.get(p, 0) for p in members}
-    keys = [("h", BITS), ("size", 40), ("place", 62)]
+    keys = [("h", BITS), ("size", 40), ("content", 60), ("place", 62)]
     bounds = _select(rows, rest, keys)
     first = {p: m[0] if m else None for p, m in members.items()}
     state = [(p, copies[p], sizes[first[p]] if m else None, quota[first[p]] if m else None, *bounds[p]) for p, m in members.items()]
-    plan = _frame(spark, state, "pattern string, copies long, source_size long, target double, b0 long, b1 long, b2 long")
-    less = F.struct(h, size, place) < F.struct("b0", "b1", "b2")
+    plan = _frame(spark, state, "pattern string, copies long, source_size long, target double, b0 long, b1 long, b2 long, b3 long")
+    less = F.struct(h, size, content, place) < F.struct("b0", "b1", "b2", "b3")
     out = full.join(plan.withColumnRenamed("pattern", pattern), pattern)
     return out.select(*kept[: kept.index(size)], size, *kept[kept.index(size) + 1 :], "source_size", "target", ((F.col("copies") + less.cast("long")) * F.col(size)).alias("taken"))
 
