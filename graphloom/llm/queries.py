@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_repeats, jaccard_join, line_quality, mixing, sentence_pieces, sharding, token_files, vector_search, word_tokens
-from .common import cut, read
+from .common import read
 
 #: Vocabularies that op1, op5 and op8 name.
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -57,7 +57,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    sized = cut(docs.select("doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size")), "sizes")
+    sized = docs.select("doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size"))
     return mixing.mix(sized).drop("sources")
 
 
@@ -65,9 +65,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(read(spark, sf_dir, "conversations"))
 
 
+#: A limit that a small table splits at too.
+FINE = 16 << 10
+
+
+def sharding_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 with shards of at most FINE bytes."""
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), limit=FINE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"sharding_fine": sharding_fine}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.ORACLE, "op3_vector_search": vector_search.ORACLE, "op7_exact_repeats": exact_repeats.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op2_sharding": sharding.ORACLE, "op3_vector_search": vector_search.ORACLE, "op7_exact_repeats": exact_repeats.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE, "sharding_fine": sharding.oracle(FINE)}

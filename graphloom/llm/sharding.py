@@ -37,20 +37,27 @@ def _buckets(rows: DataFrame, depth: int, limit: int) -> DataFrame:
     return leaves.select("g", "leaf").join(found, ["g", "leaf"], "left")
 
 
+RESULTS = ("n_bytes", "shard_depth", "shard_prefix", "shard_tie", "shard_bytes", "shard_rows")
+
+
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, shard_depth, shard_prefix, shard_tie, shard_bytes, shard_rows) of every row of df.
 
     n_bytes is the text's UTF-8 length, 0 for null. A null key is a key like any other. Rows whose keys are
     equal share all 60 bits; if they don't fit together they are split by the bits of a second hash, of
     their place in the table, and shard_tie is 1 plus that directory's prefix with its depth in front (else 0).
-    A single row over the limit has a bucket of its own. An empty table gives no rows. Other columns are left out.
+    A single row over the limit has a bucket of its own. An empty table gives no rows. Other columns are left out;
+    a key with the name of a result raises.
     """
     return _placed(df, key, text, limit)
 
 
 def _placed(df: DataFrame, key: str, text: str, limit: int, carried: tuple[Column, ...] = ()) -> DataFrame:
     """What shard returns, with further columns of each row behind it."""
-    rows = cut(df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(key).alias("h"), *carried), "sizes")
+    if key in RESULTS:
+        raise ValueError(f"the key has the name of a result: {key}")
+    name, key = key, "_key"
+    rows = cut(df.select(F.col(name).alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(name).alias("h"), *carried), "sizes")
     kept = rows.columns[3:]
     rows = rows.withColumn("g", F.lit(0).cast("long"))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -74,7 +81,7 @@ def _placed(df: DataFrame, key: str, text: str, limit: int, carried: tuple[Colum
             depth = min(BITS, depth + 8)
         else:  # equal keys: the place in the table tells rows apart
             rows, tie, depth = cut(rows.select(key, "n_bytes", hash_bits(F.monotonically_increasing_id(), seed="tie").alias("h"), F.col("h").alias("g"), *kept), "ties"), True, 24
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).withColumnRenamed(key, name)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
@@ -87,6 +94,11 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
+def oracle(limit: int = LIMIT) -> str:
+    """SQL for shard over documents, down to a depth of 30, where keys are distinct."""
+    return ORACLE.replace(f"s.b <= {LIMIT} ", f"s.b <= {limit} ")
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5('|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
 l AS (SELECT d.*, k::INTEGER AS depth, h >> ({BITS} - k)::INTEGER AS p FROM d, range(0, 31) AS r(k)),
