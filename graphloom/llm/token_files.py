@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, shared_folder, text_batches, text_slices
+from .common import list_array, shared_folder, text_batches, text_bytes, text_slices
 from .word_tokens import worker_vocabulary
 
+#: Bytes of text behind one file at most, on average.
+FILE_BYTES = 64 << 20
 #: Row groups and pages of the files. Version 2 pages write plain numbers as deltas; ids of a vocabulary go by dictionary.
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -66,7 +68,9 @@ def write_token_ids(df: DataFrame, vocabulary_path: str, path: str, text: str =
 
     rows = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    _, size = text_bytes(rows)
+    files = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    dealt = rows.repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     dealt.mapInArrow(run, SCHEMA).write.options(**(LAYOUT | (layout or {}))).parquet(path)
     return path
 
