@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .types import literal
+from .types import bounds, literal
 
 
 def between(c: Column, kind: T.DataType, low: Any, high: Any, default: Any) -> Column:
     """low <= c <= high; a missing value counts as the default. The form without coalesce can be pushed to the scan."""
-    inside = (c >= literal(low, kind)) & (c <= literal(high, kind))
+    found = bounds(low, high, kind)
+    if found is None:  # the type has no value there, nor can its default be
+        return F.lit(False)
+    inside = (c >= literal(found[0], kind)) & (c <= literal(found[1], kind))
     return inside | c.isNull() if low <= default <= high else inside & c.isNotNull()
 
 

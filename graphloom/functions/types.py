@@ -58,6 +58,40 @@ def literal(value: Any, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
+def _number(value: Any) -> decimal.Decimal:
+    return value if isinstance(value, decimal.Decimal) else decimal.Decimal(str(value))
+
+
+def _grid(kind: T.DataType) -> tuple[int, decimal.Decimal] | None:
+    """(digits behind the point, largest magnitude) of a whole or decimal type."""
+    if isinstance(kind, T.DecimalType):
+        return kind.scale, decimal.Decimal(10**kind.precision - 1).scaleb(-kind.scale)
+    bits = {T.LongType: 63, T.IntegerType: 31}.get(type(kind))
+    return (0, decimal.Decimal(2**bits - 1)) if bits else None
+
+
+def bounds(low: Any, high: Any, kind: T.DataType) -> tuple[Any, Any] | None:
+    """The least and the greatest value of a number type within [low, high], None if it has none: casts would round out of the range."""
+    with decimal.localcontext() as c:
+        c.prec = 100
+        grid = _grid(kind)
+        if grid is None:
+            return (low, high) if low <= high else None
+        step, most = decimal.Decimal(1).scaleb(-grid[0]), grid[1]
+        # beyond what the type holds a bound is the type's own
+        first = max(min(_number(low), most + 1), -most - 1).quantize(step, decimal.ROUND_CEILING)
+        last = max(min(_number(high), most + 1), -most - 1).quantize(step, decimal.ROUND_FLOOR)
+        first, last = max(first, -most), min(last, most)
+    if first > last:
+        return None
+    return (first, last) if isinstance(kind, T.DecimalType) else (int(first), int(last))
+
+
+def holds(value: decimal.Decimal, kind: T.DataType) -> bool:
+    """Whether a number type has exactly this value."""
+    return bounds(value, value, kind) is not None
+
+
 def decode(text: str | None, kind: DataType, variants: tuple[str, ...] = ()) -> Any:
     """A scalar from its text as typed on a command line; ValueError if it isn't one. Empty text is missing."""
     if text is None or text == "":

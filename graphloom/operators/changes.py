@@ -80,6 +80,8 @@ def unlink(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(*on), on, "left_anti").select(*edges.columns)
 
 
+#: Rows of a session's frame up to which it is broadcast; larger ones are joined.
+BROADCAST_ROWS = 10_000
 #: Changes as rows. op: create, delete, set, link, unlink; value is JSON text of one scalar, other the far end of an edge.
 CHANGES = T.StructType([T.StructField("seq", T.LongType(), False), *[T.StructField(n, T.StringType()) for n in ("op", "obj_id", "typ", "field", "value", "other")]])
 
@@ -140,7 +142,7 @@ class Session:
         return rows.select("obj_id", F.lit("").alias("ref")).limit(0) if out is None else out
 
     def apply(self) -> Graph:
-        """The graph as the changes leave it; the last write of a field or an edge counts, and a delete after it removes both."""
+        """The graph as the changes leave it; the last write of a field or an edge counts, a delete removes both, and what is created after it starts empty. Columns that are no fields stay."""
         graph, spark = self.graph, next(iter(self.graph.tables.values())).sparkSession
         values: dict[str, dict[str, dict]] = {}
         created: dict[str, set[str]] = {}
@@ -149,7 +151,6 @@ class Session:
         gone: dict[str, set[str]] = {}
         for _, op, obj, typ, name, value, other in self.changes:
             if op in ("create", "set"):
-                gone.get(typ, set()).discard(obj) if op == "create" else None
                 values.setdefault(typ, {}).setdefault(obj, {})
                 if op == "create":
                     created.setdefault(typ, set()).add(obj)
@@ -175,18 +176,25 @@ class Session:
         for typ, ids in gone.items():
             graph = delete_objects(graph, typ, spark.createDataFrame([(i,) for i in sorted(ids)], "obj_id string"))
         for typ, rows in values.items():
-            fields = graph.catalog.fields(typ)
-            schema = graph.catalog.schema(typ)
-            table = graph.tables.get(typ)
-            table = spark.createDataFrame([], schema) if table is None else table
+            # a table of the whole tree holds all its entities
+            holder = next((e.key for e in graph.catalog.lineage(typ) if e.key in graph.tables and (e.key == typ or TYPE in graph.tables[e.key].columns)), typ)
+            table = graph.tables.get(holder)
+            table = spark.createDataFrame([], graph.catalog.schema(typ)) if table is None else table
+            fields = {k: f for k, f in graph.catalog.fields(typ).items() if k in table.columns}
+            if missing := {k for v in rows.values() for k in v if k not in fields}:
+                raise CatalogError(f"the table of '{holder}' has no column for {sorted(missing)}")
             new = [(i, *[v.get(f) for f in fields]) for i, v in rows.items()]
             marks = [T.StructField(f"_set_{f}", T.BooleanType()) for f in fields]
             full = T.StructType([T.StructField("obj_id", T.StringType()), *[T.StructField(f"_new_{f}", fields[f].spark) for f in fields], *marks, T.StructField("_created", T.BooleanType())])
             made = created.get(typ, set())
-            frame = F.broadcast(spark.createDataFrame([(*n, *[f in rows[n[0]] for f in fields], n[0] in made) for n in new], full))
-            old = table.join(frame, "obj_id", "left").select("obj_id", *[F.when(F.coalesce(f"_set_{f}", F.lit(False)), F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in fields])
-            added = frame.where("_created").join(table.select("obj_id"), "obj_id", "left_anti").select("obj_id", *[F.col(f"_new_{f}").alias(f) for f in fields])
-            graph = graph.with_tables({typ: old.unionByName(added)})
+            frame = spark.createDataFrame([(*n, *[f in rows[n[0]] for f in fields], n[0] in made) for n in new], full)
+            frame = F.broadcast(frame) if len(new) <= BROADCAST_ROWS else frame
+            value = {f: F.when(F.coalesce(f"_set_{f}", F.lit(False)), F.col(f"_new_{f}")).otherwise(F.col(f)).cast(table.schema[f].dataType).alias(f) for f in fields}
+            old = table.join(frame, "obj_id", "left").select(*[value.get(c, F.col(c)) for c in table.columns])
+            fresh = {f: F.col(f"_new_{f}").cast(table.schema[f].dataType).alias(f) for f in fields} | {"obj_id": F.col("obj_id"), TYPE: F.lit(typ).alias(TYPE)}
+            added = frame.where("_created").join(table.select("obj_id"), "obj_id", "left_anti")
+            added = added.select(*[fresh[c] if c in fresh else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+            graph = graph.with_tables({holder: old.unionByName(added)})
         for name in {*edges, *cleared}:
             table = graph.edges.get(name)
             if isinstance(table, ForeignKey):
@@ -196,7 +204,8 @@ class Session:
                 table = table.where(F.col("a" if side == "a" else "b") != obj)
             known = edges.get(name, {})
             if known:
-                frame = F.broadcast(spark.createDataFrame([(*k, v) for k, v in known.items()], "a string, b string, there boolean"))
+                frame = spark.createDataFrame([(*k, v) for k, v in known.items()], "a string, b string, there boolean")
+                frame = F.broadcast(frame) if len(known) <= BROADCAST_ROWS else frame
                 table = table.join(frame, ["a", "b"], "left_anti").select("a", "b").union(frame.where("there").select("a", "b"))
             graph = graph.with_tables(edges={name: table})
         return graph

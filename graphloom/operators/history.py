@@ -72,6 +72,29 @@ def _edges_of_deleted(graph: Graph, gone: DataFrame) -> list[DataFrame]:
     return parts
 
 
+EDGE = ("obj_a", "fld_a", "obj_b", "fld_b")
+
+
+def _edges_at(graph: Graph, linked: DataFrame) -> DataFrame:
+    """EDGE of the graph's edges with an object that a change of the same reference names."""
+    parts = [linked.select(*EDGE).limit(0)]
+    wanted = {(r.fld_a, r.fld_b) for r in linked.select("fld_a", "fld_b").distinct().collect()}  # references of the catalog
+    for entity in graph.catalog.entities.values():
+        for r in entity.refs:
+            if r.side == "a" and r.edge in graph.edges and (r.key, r.inverse) in wanted:
+                links = graph.links(r).select(F.col("a").cast("string").alias("obj_a"), F.lit(r.key).alias("fld_a"), F.col("b").cast("string").alias("obj_b"), F.lit(r.inverse).alias("fld_b"))
+                mine = linked.where((F.col("fld_a") == r.key) & (F.col("fld_b") == r.inverse))
+                parts += [links.join(mine.select(end).where(F.col(end).isNotNull()).distinct(), end, "left_semi") for end in ("obj_a", "obj_b")]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _all_of(linked: DataFrame, edges: DataFrame, end: str) -> DataFrame:
+    """Removals of the edges whose `end` a change unlinks from all its targets."""
+    other = "obj_b" if end == "obj_a" else "obj_a"
+    cleared = linked.where(~F.col("added") & F.col(other).isNull()).select(end, "fld_a", "fld_b", "seq")
+    return edges.join(cleared, [end, "fld_a", "fld_b"]).select(*EDGE, "seq", F.lit(False).alias("added"))
+
+
 def commit_events(graph: Graph, changes: DataFrame, commit_id: int, ts: dt.datetime, user: str) -> DataFrame:
     """All events of one commit from a session's changes; what is set on an object that the commit deletes isn't listed, its edges are, those that the graph held before too."""
     deletes = last_write(changes.where(F.col("op").isin("create", "delete")).select("obj_id", "seq", "op", "typ"), ["obj_id"], ["seq"])
@@ -84,10 +107,16 @@ def commit_events(graph: Graph, changes: DataFrame, commit_id: int, ts: dt.datet
     fields = field_events(sets.join(gone.select("obj_id"), "obj_id", "left_anti"), values)
     inverse = {(k, r.key): (r.inverse, r.side) for k in graph.catalog.entities for r in graph.catalog.refs(k).values()}
     pairs = changes.sparkSession.createDataFrame([(*k, *v) for k, v in inverse.items()] or [("", "", "", "")], "typ string, field string, fld_b string, side string")
-    linked = changes.where(F.col("op").isin("link", "unlink") & F.col("other").isNotNull()).join(F.broadcast(pairs), ["typ", "field"])  # as many rows as references in the catalog
+    linked = changes.where(F.col("op").isin("link", "unlink")).join(F.broadcast(pairs), ["typ", "field"])  # as many rows as references in the catalog
     ends = [F.when(F.col("side") == "a", F.col(x)).otherwise(F.col(y)) for x, y in (("obj_id", "other"), ("field", "fld_b"), ("other", "obj_id"), ("fld_b", "field"))]
-    linked = linked.select(*[e.alias(n) for e, n in zip(ends, ("obj_a", "fld_a", "obj_b", "fld_b"))], "seq", (F.col("op") == "link").alias("added"))
-    linked = last_write(reduce(DataFrame.unionByName, [linked, *_edges_of_deleted(graph, gone)]), ["obj_a", "fld_a", "obj_b", "fld_b"], ["seq"])
+    linked = linked.select(*[e.alias(n) for e, n in zip(ends, EDGE)], "seq", (F.col("op") == "link").alias("added"))
+    single = linked.where(F.col("obj_a").isNotNull() & F.col("obj_b").isNotNull())
+    there = _edges_at(graph, linked)
+    every = [_all_of(linked, edges, end) for edges in (there, single.where("added").select(*EDGE).distinct()) for end in ("obj_a", "obj_b")]
+    linked = last_write(reduce(DataFrame.unionByName, [single, *every, *_edges_of_deleted(graph, gone)]), list(EDGE), ["seq"])
+    # no event for an edge that is there already, or that isn't
+    known_edges = reduce(DataFrame.unionByName, [there, *[e.select(*EDGE) for e in _edges_of_deleted(graph, gone)]]).distinct().withColumn("there", F.lit(True))
+    linked = linked.join(known_edges, list(EDGE), "left").where(F.col("added") != F.coalesce("there", F.lit(False))).drop("there")
     parts = [made, lost, fields, edge_events(linked)]
     events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     events = events.withColumns({"commit_id": F.lit(commit_id).cast("long"), "ts": F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz"), "user_id": F.lit(user)})
@@ -111,6 +140,10 @@ def commit(history: DataFrame, commit_id: int) -> DataFrame:
 
 
 def as_of(history: DataFrame, commit_id: int) -> DataFrame:
-    """(obj_id, fld_id, value) of the fields that are set after a commit, by replay of the log."""
-    last = last_write(history.where((F.col("type") == CHANGED) & (F.col("commit_id") <= F.lit(commit_id))).select("obj_id", "fld_id", "commit_id", "seq", "new_value"), ["obj_id", "fld_id"], ["commit_id", "seq"])
-    return last.where(F.col("new_value").isNotNull()).select("obj_id", "fld_id", F.col("new_value").alias("value"))
+    """(obj_id, fld_id, value) of the fields that are set after a commit, by replay of the log. A delete unsets all fields of its object; what is set after it, on an object made anew, counts."""
+    log = history.where(F.col("commit_id") <= F.lit(commit_id)).where(F.col("type").isin(CHANGED, DELETED)).select("obj_id", "type", "fld_id", "commit_id", "seq", "new_value")
+    at = F.struct("commit_id", "seq")
+    last = last_write(log.where(F.col("type") == CHANGED), ["obj_id", "fld_id"], ["commit_id", "seq"]).where(F.col("new_value").isNotNull())
+    gone = log.where(F.col("type") == DELETED).groupBy("obj_id").agg(F.max(at).alias("gone"))
+    last = last.join(gone, "obj_id", "left").where(F.col("gone").isNull() | (at > F.col("gone")))
+    return last.select("obj_id", "fld_id", F.col("new_value").alias("value"))

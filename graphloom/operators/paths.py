@@ -9,12 +9,13 @@ is new, which ends on cycles too.
 from __future__ import annotations
 
 import decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import DataType, literal
+from ..functions.types import DataType, holds, literal
 from ..plans.path_binding import CURRENT_USER, RIGHTS, Binding, bind, text_of
 from ..plans.path_text import Call, CallTest, Current, FieldTest, Filtered, Hop, Logical, Node, Path, Predicate, Repeat, This, TypeTest, parse
 from .lineage import checkpoint
@@ -101,13 +102,13 @@ class Paths:
     def _closure(self, s: Repeat, entity: str, ends: DataFrame) -> DataFrame:
         """(obj_id) of the objects from which one or more rounds of the steps lead to `ends`."""
         new = checkpoint(ends.select("obj_id").distinct())
-        known = new if self.min_hops == 0 else None
+        layers = [new] if self.min_hops == 0 else []  # each is written once; only new objects are joined on
         while True:
             ids = self._before(s.steps, entity, self.graph.scan(entity).join(new, "obj_id", "left_semi")).select("obj_id").distinct()
-            new = checkpoint(ids if known is None else ids.join(known, "obj_id", "left_anti"))
+            new = checkpoint(ids.join(reduce(DataFrame.union, layers), "obj_id", "left_anti") if layers else ids)
             if new.isEmpty():
-                return new if known is None else known
-            known = new if known is None else checkpoint(known.union(new))
+                return reduce(DataFrame.union, layers) if layers else new
+            layers.append(new)
 
     def _where(self, n: Node | None, entity: str, rows: DataFrame) -> DataFrame:
         """Those of rows that meet a condition: columns in one filter, calls as semi-joins, or marks under an OR."""
@@ -154,6 +155,8 @@ class Paths:
         if n.value.kind == "String":
             text = text_of(n.value.raw)
             value = F.lit(f.variants.index(text) if f.type is DataType.ENUM and text in f.variants else text)
+        elif n.value.kind == "Number" and not holds(decimal.Decimal(n.value.raw), f.spark):
+            return F.lit(n.op != "Equals")  # no value of the field can be this one
         else:
             value = literal(n.value.raw == "true" if n.value.kind == "Bool" else decimal.Decimal(n.value.raw), f.spark)
         same = F.col(f.key).eqNullSafe(value)

@@ -160,6 +160,7 @@ class Catalog:
             for r in self.entities[k].refs:
                 if r.key == key:
                     return r
+        # the text is a fixed value
         raise UnknownFieldError(f"Unknown association '{key}' on type '{entity}'")
 
     def schema(self, key: str) -> T.StructType:

@@ -211,6 +211,95 @@ UNION ALL SELECT '9', 'ObjDeleted', '', '', '', '', '' UNION ALL SELECT 'new', '
 UNION ALL SELECT a, 'AsoRemoved', fa, b, fb, '', '' FROM e UNION ALL SELECT b, 'AsoRemoved', fb, a, fa, '', '' FROM e""")
 
 
+# what a type can't hold, deletes in the log, unlinking all targets, objects made anew, new edges, and the rows that a cascade leaves
+
+_search("long_range_between", "Part", Range("Size", 10.5, 12.5), "SELECT p_partkey AS obj_id FROM part WHERE p_size BETWEEN 10.5 AND 12.5")
+_search("decimal_range_between", "Part", any_of(Range("RetailPrice", 950.001, 950.009), Range("RetailPrice", 899.999, 930.004)), "SELECT p_partkey AS obj_id FROM part WHERE p_retailprice::DECIMAL(18,2) BETWEEN 950.001 AND 950.009 OR p_retailprice::DECIMAL(18,2) BETWEEN 899.999 AND 930.004")
+_path("path_number_between", "P(Part): this[$.RetailPrice=900.004 OR ($.Size=7 AND $.RetailPrice!=901.004)]->PartLines[$.Quantity=7]", "SELECT DISTINCT p_partkey AS obj_id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE (p_retailprice::DECIMAL(18,2) = 900.004 OR p_size = 7 AND p_retailprice::DECIMAL(18,2) <> 901.004) AND l_quantity::BIGINT = 7")
+
+
+def _log_with_deletes(g: Graph) -> DataFrame:
+    gone = F.col("seq") % 5 == 0
+    return _log(g).withColumns({"type": F.when(gone, history.DELETED).otherwise(F.col("type")), "fld_id": F.when(~gone, F.col("fld_id")), "new_value": F.when(~gone, F.col("new_value"))})
+
+
+_add("history_as_of_deleted", lambda g: history.as_of(_log_with_deletes(g), 200), """
+WITH e AS (SELECT *, dayofyear(ts) AS c FROM events WHERE dayofyear(ts) <= 200), d AS (SELECT user_id, max(c * 1000000000 + event_id) AS gone FROM e WHERE event_id % 5 = 0 GROUP BY 1),
+l AS (SELECT * FROM e WHERE event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY c DESC, event_id DESC) = 1)
+SELECT user_id AS obj_id, event_type AS fld_id, value::DECIMAL(18,2)::VARCHAR AS value FROM l LEFT JOIN d USING (user_id) WHERE gone IS NULL OR c * 1000000000 + event_id > gone""")
+
+
+def _unlinked(g: Graph) -> DataFrame:
+    graph = _with_text_ids(g)
+    s = changes.Session(graph)
+    for k in range(1, 40):
+        s.unlink("Customer", str(k), "Orders")
+    s.link("Customer", "2", "Nation", "0")
+    events = history.commit_events(graph, s.rows(), 1, dt.datetime(2026, 1, 1), "u")
+    return events.select("obj_id", "type", "fld_id", "obj_b", "fld_b")
+
+
+_add("session_unlink_all", _unlinked, """
+WITH e AS (SELECT o_orderkey::VARCHAR AS a, o_custkey::VARCHAR AS b FROM orders WHERE o_custkey BETWEEN 1 AND 39), n AS (SELECT '2' AS a, '0' AS b WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = 2 AND c_nationkey = 0))
+SELECT a AS obj_id, 'AsoRemoved' AS type, 'Customer' AS fld_id, b AS obj_b, 'Orders' AS fld_b FROM e UNION ALL SELECT b, 'AsoRemoved', 'Orders', a, 'Customer' FROM e
+UNION ALL SELECT a, 'AsoAdded', 'Nation', b, 'Parties' FROM n UNION ALL SELECT b, 'AsoAdded', 'Parties', a, 'Nation' FROM n""")
+
+
+def _recreated(g: Graph) -> DataFrame:
+    s = changes.Session(_with_text_ids(g))
+    s.delete("Customer", "9")
+    s.create("Customer", "9", Name="again")
+    s.set("Customer", "8", "Segment", "SET")
+    after = s.apply()
+    orders = after.degree(after.scan("Customer"), "Customer", "Orders")
+    return after.tables["Customer"].join(orders, "obj_id").select("obj_id", "Name", "Segment", F.col("nation").alias("nation"), "n")
+
+
+_add("session_recreate", _recreated, """
+SELECT c_custkey::VARCHAR AS obj_id, CASE WHEN c_custkey = 9 THEN 'again' ELSE c_name END AS "Name", CASE c_custkey WHEN 9 THEN NULL WHEN 8 THEN 'SET' ELSE c_mktsegment END AS "Segment", CASE WHEN c_custkey <> 9 THEN c_nationkey::BIGINT END AS nation,
+CASE WHEN c_custkey <> 9 THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) ELSE 0 END AS n FROM customer""")
+
+
+def _new_edges(g: Graph) -> DataFrame:
+    """Every second order gets the customer behind its own as well; a fourth of the customers lose all."""
+    links = g.links(CATALOG.ref("Order", "Customer"))
+    more = links.where("a % 2 = 0").select("a", (F.col("b") + 1).alias("b"))
+    return changes.unlink(changes.link(links, more), g.tables["Customer"].where("obj_id % 4 = 0").select(F.col("obj_id").alias("b")))
+
+
+_add("edge_changes_new", _new_edges, "SELECT a, b FROM (SELECT o_orderkey AS a, o_custkey AS b FROM orders UNION SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 2 = 0) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = b AND b % 4 = 0)")
+
+
+def _cascade_rows(g: Graph) -> DataFrame:
+    after = changes.delete_objects(g, "Customer", g.tables["Customer"].where("obj_id % 3 = 0"))
+    kept = after.scan("Party").select(TYPE, "obj_id", F.lit(None).cast("long").alias("to"))
+    return kept.union(after.scan("Order").select(F.lit("Order"), "obj_id", "customer")).union(after.scan("Event").select(F.lit("Event"), "obj_id", "user"))
+
+
+_add("delete_cascade_rows", _cascade_rows, """
+SELECT 'Customer' AS _typ, c_custkey AS obj_id, NULL::BIGINT AS "to" FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'Supplier', -1 - s_suppkey, NULL FROM supplier
+UNION ALL SELECT 'Order', o_orderkey, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0) THEN o_custkey END FROM orders
+UNION ALL SELECT 'Event', event_id, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 3 = 0) THEN user_id END FROM events""")
+_PLAIN = "Region Nation Party Part Order LineItem Event Document".split()
+_add("catalog_lineage", lambda g: g.catalog.to_frame(g.tables["Region"].sparkSession).select("key", "parent"), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', NULL)" for k in _PLAIN) + ", ('Customer', 'Party'), ('Supplier', 'Party'), ('LabeledDocument', 'Document'), ('ToxicDocument', 'LabeledDocument')) AS t(key, parent)")
+
+
+def _loaded(g: Graph) -> DataFrame:
+    """Regions, nations and parties, dumped as lines and loaded again: every field and every edge."""
+    keys = ("Region", "Nation", "Customer", "Supplier")
+    part = Graph(g.catalog, {k: g.tables[k] for k in keys}, {e: g.edges[e] for e in ("Region_Nations", "Nation_Parties")})
+    back = json_dump.load(g.tables["Region"].sparkSession, json_dump.dump(part), g.catalog)
+    party = back.scan("Party").select("obj_id", TYPE, "Name", F.col("AcctBal").cast("double").alias("AcctBal"), "Segment")
+    to = back.links(CATALOG.ref("Party", "Nation")).withColumnRenamed("a", "obj_id")
+    up = back.links(CATALOG.ref("Nation", "Region")).select(F.col("a").alias("b"), F.col("b").alias("region"))
+    return party.join(to, "obj_id").join(up, "b").select("obj_id", TYPE, "Name", "AcctBal", "Segment", F.col("b").alias("nation"), "region")
+
+
+_add("json_load", _loaded, """
+WITH p AS (SELECT c_custkey AS k, 'Customer' AS t, c_name AS n, c_acctbal AS a, c_mktsegment AS s, c_nationkey AS c FROM customer UNION ALL SELECT -1 - s_suppkey, 'Supplier', s_name, s_acctbal, NULL, s_nationkey FROM supplier)
+SELECT k::VARCHAR AS obj_id, t AS _typ, n AS "Name", a::DECIMAL(18,2)::DOUBLE AS "AcctBal", s AS "Segment", c::VARCHAR AS nation, n_regionkey::VARCHAR AS region FROM p JOIN nation ON n_nationkey = c""")
+
+
 def _dumped(g: Graph) -> DataFrame:
     """The lines of Nation and Region, which the SQL asks for; json_dump_all is the whole job."""
     small = Graph(g.catalog, {"Nation": g.tables["Nation"], "Region": g.tables["Region"]}, {"Region_Nations": g.edges["Region_Nations"]})

@@ -1,6 +1,5 @@
 """Small models for the tests: folders, an inheritance chain, and a business model with rights."""
 
-import datetime as dt
 from decimal import Decimal
 
 from graphloom.functions.types import Cardinality, DataType
@@ -71,9 +70,5 @@ def ids(frame):
     return sorted(r.obj_id for r in frame.select("obj_id").collect())
 
 
-def day(*a):
-    return dt.datetime(*a)
-
-
 def dec(x):
     return Decimal(x)

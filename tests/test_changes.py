@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from models import BUSINESS, FOLDERS, build, dec, empty, ids
+from models import BUSINESS, FOLDERS, ITEMS, build, dec, empty, ids
 from pyspark.sql import functions as F
 
 from graphloom import cli
@@ -10,6 +10,8 @@ from graphloom.functions.types import DataType, decode, encode
 from graphloom.operators import history
 from graphloom.operators.changes import Session, delete_objects, last_write, link, overlay, unlink
 from graphloom.operators.search import search
+from graphloom.operators.store import ForeignKey, Graph
+from graphloom.plans.catalog import CatalogError
 from graphloom.plans.criteria import Assoc, AssocMatch, Text
 from graphloom.plans.meta import with_base
 from graphloom.sources import json_dump, snapshots
@@ -99,6 +101,57 @@ def test_delete_logs_edges_that_were_there(spark):
     assert [e for e in events(spark, g, s) if e[1] == "AsoRemoved"] == [("a", "AsoRemoved", "Subfolders", None, None, "z"), ("x", "AsoRemoved", "Parent", None, None, "z"), ("z", "AsoRemoved", "Parent", None, None, "a"), ("z", "AsoRemoved", "Subfolders", None, None, "x")]
 
 
+def test_unlink_of_all_targets_and_links_that_are_there(spark):
+    g = build(spark, FOLDERS, {k: (K, {"Name": k}) for k in "axyz"}, [(K, "x", "Parent", "a"), (K, "y", "Parent", "a")])
+    s = Session(g)
+    s.link(K, "x", "Parent", "a")  # there already
+    s.link(K, "z", "Parent", "a")
+    s.unlink(K, "y", "Parent", "z")  # not there
+    s.unlink(K, "a", "Subfolders")  # all three
+    s.link(K, "y", "Parent", "a")  # and one of them anew: nothing changes for it
+    assert [e for e in events(spark, g, s)] == [("a", "AsoRemoved", "Subfolders", None, None, "x"), ("x", "AsoRemoved", "Parent", None, None, "a")]
+    assert ids(search(s.apply(), K, Assoc("Parent"))) == ["y"]
+
+
+def test_delete_then_create(spark):
+    g = build(spark, FOLDERS, {"a": (K, {"Name": "old", "TestIntegerField": 3}), "b": (K, {})}, [(K, "b", "Parent", "a")])
+    s = Session(g)
+    s.delete(K, "a")
+    s.create(K, "a", Name="new")
+    after = s.apply()
+    assert [(r.Name, r.TestIntegerField) for r in after.lookup(K, "a").collect()] == [("new", None)] and ids(search(after, K, Assoc("Parent"))) == []
+    s.link(K, "b", "Parent", "a")
+    assert ids(search(s.apply(), K, Assoc("Parent"))) == ["b"]
+    log = spark.createDataFrame([(1, "a", 0, history.CHANGED, "f", "1"), (1, "b", 1, history.CHANGED, "f", "2"), (2, "a", 0, history.DELETED, None, None), (2, "a", 1, history.CHANGED, "g", "3"), (3, "b", 5, history.DELETED, None, None)], "commit_id long, obj_id string, seq long, type string, fld_id string, new_value string")
+    at = lambda n: sorted(tuple(r) for r in history.as_of(log, n).collect())
+    assert at(1) == [("a", "f", "1"), ("b", "f", "2")] and at(2) == [("a", "g", "3"), ("b", "f", "2")] and at(3) == [("a", "g", "3")]
+
+
+def test_apply_keeps_what_it_does_not_know(spark):
+    """Key columns and the type column of a tree's table stay, and rows made in it get their type."""
+    tree = Graph(ITEMS, {"BaseItem": spark.createDataFrame([("a", "BaseItem", "x", None, "g"), ("b", "ChildItem", "y", 4, None)], "obj_id string, _typ string, BaseName string, ChildValue long, group string")}, {"Group-Items": ForeignKey("BaseItem", "group")})
+    s = Session(tree)
+    s.set("BaseItem", "a", "BaseName", "z")
+    s.create("ChildItem", "c", ChildValue=7)
+    after = s.apply()
+    assert sorted(tuple(r) for r in after.tables["BaseItem"].collect()) == [("a", "BaseItem", "z", None, "g"), ("b", "ChildItem", "y", 4, None), ("c", "ChildItem", None, 7, None)]
+    assert ids(after.scan("ChildItem")) == ["b", "c"] and [tuple(r) for r in after.links(ITEMS.ref("BaseItem", "Group")).collect()] == [("a", "g")]
+    s.create("GrandChildItem", "d", GrandChildFlag=True)
+    with pytest.raises(CatalogError):
+        s.apply()
+
+
+def test_a_save_that_ends_halfway(spark, tmp_path):
+    path = str(tmp_path / "g")
+    g = build(spark, FOLDERS, {"a": (K, {"Name": "old"})})
+    log = spark.createDataFrame([(1, "a")], "commit_id long, obj_id string")
+    assert snapshots.save(g, path, log) == 1
+    with pytest.raises(Exception):
+        snapshots.save(g.with_tables({"TestingDocument": g.tables[K].select(F.raise_error(F.lit("lost")).alias("obj_id"))}), path, log)
+    assert snapshots.history(spark, path).count() == 1 and ids(snapshots.load(spark, path, FOLDERS).scan(K)) == ["a"]
+    assert snapshots.save(g, path, log) == 2 and snapshots.history(spark, path).count() == 2 and snapshots.history(spark, path, 1).count() == 1
+
+
 def test_show_lists_every_target(spark):
     children = [f"child-with-a-long-name-{k:03}" for k in range(70)]
     g = build(spark, FOLDERS, {k: (K, {"Name": "n" * 90}) for k in ["a", *children]}, [(K, c, "Parent", "a") for c in children])

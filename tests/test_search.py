@@ -133,3 +133,13 @@ def test_catalog():
         Catalog(Model("m", (EntityDef("A", "B"), EntityDef("B", "A"))))
     a, b = Model("a", (EntityDef("A"),), ("b", "c")), Model("b", (EntityDef("B"),), ("c",))
     assert sorted(Catalog(a, (b, Model("c", (EntityDef("C"),)))).entities) == ["A", "B", "C"]  # c is reached twice
+
+
+def test_ranges_between_the_values_of_a_type(spark):
+    """A bound that a type can't hold doesn't round into the range."""
+    g = build(spark, FOLDERS, {k: ("TestingFolder", {"TestIntegerField": n, "TestDecimalField": d}) for k, n, d in (("a", 10, dec("1.000000001")), ("b", 11, dec("-2")), ("c", None, None), ("d", 2**63 - 1, dec("10000000000000000000000000000")))})
+    found = lambda f, low, high: ids(search(g, "TestingFolder", Range(f, low, high)))
+    assert found("TestIntegerField", 10.5, 10.9) == [] and found("TestIntegerField", 9.5, 10.5) == ["a"] and found("TestIntegerField", -0.5, 0.5) == ["c"]
+    assert found("TestIntegerField", 10.2, 10**30) == ["b", "d"] and found("TestIntegerField", 10**25, 10**30) == [] and found("TestIntegerField", 12, 10) == []
+    assert found("TestDecimalField", dec("1.0000000011"), dec("1.0000000019")) == [] and found("TestDecimalField", dec("1.0000000001"), dec("1.0000000019")) == ["a"]
+    assert found("TestDecimalField", -(10**40), dec("-1.5")) == ["b"] and found("TestDecimalField", 10**27, 10**60) == ["d"]
