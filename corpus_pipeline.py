@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_repeats, jaccard_join, line_quality, mixing, sentence_pieces
-from graphloom.llm.common import cut, read
+from graphloom.llm.common import cut, free_shuffles, read
 from graphloom.llm.queries import PIECES, vocabulary
 
 
@@ -48,9 +48,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document."""
+    """The ids of each document, and as its text what they decode to."""
     out = sentence_pieces.encode(docs, vocabulary(PIECES), keep_text=False)
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out = sentence_pieces.decode(out, vocabulary(PIECES), text="text")
+    return out.select("doc_id", "text", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -58,10 +59,10 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("substring dedup", repeats),
     ("mixing sources", mixture),
-    ("SentencePiece encoding", pieces),
+    ("SentencePiece encoding and decoding", pieces),
 ]
 
-#: Neither the labels of the CRF nor the ids of the model are within SQL's reach; tests hold the stages against brute force.
+#: Neither the labels of the CRF nor the ids of the model are within SQL's reach; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -71,4 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
+            free_shuffles(spark)
     return docs
