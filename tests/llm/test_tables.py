@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import chat_format, components, jaccard_join, mixing, queries, sharding, vector_search
+from graphloom.llm import chat_format, components, jaccard_join, line_quality, mixing, queries, sharding, vector_search
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings labels conversations".split()
@@ -253,3 +253,109 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == docs.count() and out.where("n_tokens <> size(ids)").count() == 0
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f", "en", "s", 1)] * 2 + [(2, "a b c d e f", "en", "s", 1), (None, "q", "en", "s", 1), (None, "q", "en", "s", 1)], docs.schema), SF).count() == 3
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over a small corpus with junk, shared lines, copies, near copies, repeated passages, nulls and repeated ids, against plain Python: the fitted weights are taken as they are, features, best labels and every later stage are not."""
+    import hashlib
+    from itertools import product
+
+    import sentencepiece
+    from test_texts import base_counts, shingles, words
+
+    r = random.Random(21)
+    vocab = ["".join(r.choice("abcdefghé") for _ in range(r.randint(2, 8))) for _ in range(500)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    shared, passage = [say(6) for _ in range(3)], say(30)
+    rows = []
+    for k in range(60):
+        lines = [say(r.randint(12, 40)) for _ in range(r.randint(1, 3))]
+        if k % 3 == 0:
+            lines.insert(r.randint(0, len(lines)), r.choice(shared))
+        if k % 7 == 0:
+            lines.append(say(5) + " " + passage + "  " + say(5))
+        rows.append((k, "\n".join(lines)))
+    rows += [(100 + k, "\n".join(" ".join(w + r.choice(["***", "###", "!!"]) for w in say(20).split()).upper() for _ in range(2))) for k in range(20)]
+    rows += [(200, rows[4][1]), (201, rows[4][1] + " tail"), (202, rows[5][1]), (203, None), (204, ""), (205, "few words"), (206, (say(3) + " ") * 20), (None, rows[8][1]), (None, say(30)), (207, rows[10][1]), (207, say(40)), (207, say(40))]
+    docs = [(d, t, r.choice(["en", None]), r.choice(["s", "t", "u", None]), len(t or "")) for d, t in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1) for k in range(0, 60, 2)] + [(100 + k, 0) for k in range(0, 20, 2)] + [(1, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids").collect()]
+
+    # quality rules
+    model = line_quality.fit(frame, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    texts_of = defaultdict(set)
+    for n, d in enumerate(docs):
+        for line in (d[1] or "").split("\n"):
+            if words(line):
+                texts_of[line].add(n)
+    often = {line for line, n in texts_of.items() if len(n) >= 5}
+    assert len(often) == len(model.shared) >= 3
+
+    def kept(text):
+        n, *_, failed = base_counts(text)
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        if failed:
+            return False
+        mostly = 2 * sum(len(words(x)) for x in lines if x in often) < n
+        scores = []
+        for i, x in enumerate(lines):
+            b, w = x.encode(), len(words(x))
+            letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in b)
+            feature = [1, min(10 * sum(c in b"#*$%&|<>" for c in b) / len(b), 2), sum(65 <= c <= 90 for c in b) / max(letters, 1), min(b.count(b"!") / w, 2), sum(48 <= c <= 57 for c in b) / len(b), x in lines[:i], w < 3, min(len(b) / w / 10, 3), w / n, x in often and mostly]
+            scores.append(sum(f * v for f, v in zip(feature, model.weights)))
+        best = max(product((0, 1), repeat=len(lines)), key=lambda y: sum(s for s, b in zip(scores, y) if b) + sum(model.steps[a, b] for a, b in zip(y, y[1:])))
+        return sum(len(words(x)) for x, y in zip(lines, best) if not y) >= 0.5 * n
+
+    left = [d for d in docs if kept(d[1])]
+    assert {d[0] for d in docs} - {d[0] for d in left} >= {203, 204, 205, 206, *range(100, 120)} and len(left) > 50
+    # near duplicates: one of each group, among rows with an id; equal rows once
+    known = list(dict.fromkeys(d for d in left if d[0] is not None))
+    group = [d[0] for d in known]
+    sets = [shingles(d[1]) for d in known]
+    near = [[j for j in range(len(known)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(known))]
+    for _ in known:
+        group = [min([group[i], *[group[j] for j in near[i]]]) for i in range(len(known))]
+    left = [d for d, g in zip(known, group) if d[0] == g] + [d for d in left if d[0] is None]
+    assert not {200, 201, 202} & {d[0] for d in left} and sum(d[0] == 207 for d in left) == 2
+    # repeats: white space before kept words stays
+    first, out = {}, []
+    for d in left:
+        w = words(d[1])
+        for i in range(len(w) - 12 if d[0] is not None else 0):
+            first[tuple(w[i : i + 13])] = min(first.get(tuple(w[i : i + 13]), d[0]), d[0])
+    for d in left:
+        w, gone = words(d[1]), set()
+        for i in range(len(w) - 12 if d[0] is not None else 0):
+            if first[tuple(w[i : i + 13])] < d[0]:
+                gone.update(range(i, i + 13))
+        text, at, end = "", 0, 0
+        for i, x in enumerate(w):
+            begin = d[1].index(x, at)
+            if i not in gone:
+                text += (d[1][end:begin] if text else "") + x
+            at = end = begin + len(x)
+        if len(gone) < len(w):
+            out.append((d[0], text if gone else d[1], *d[2:4], len(text if gone else d[1])))
+    assert sum(a[1] != b[1] for a, b in zip(out, left)) >= 5
+    left = out
+    # mixing: by source in order of the key's hash
+    sources = sorted({d[3] for d in left}, key=lambda s: (s is None, s or ""))
+    size = lambda d: len(words(d[1]))
+    sizes = {s: sum(size(d) for d in left if d[3] == s) for s in sources}
+    target = mixing.targets(sizes, {s: 1 + i % 3 for i, s in enumerate(sources)})
+    key = lambda d: (int(hashlib.md5(f"mix|{'null' if d[0] is None else d[0]}".encode()).hexdigest()[:15], 16), size(d))
+    want, model = [], sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary(queries.PIECES))
+    for s in sources:
+        copies, rest = divmod(int(target[s] + 0.5), sizes[s])
+        for d in sorted((d for d in left if d[3] == s), key=key):
+            more = size(d) <= rest or size(d) < 2 * rest
+            rest = rest - size(d) if size(d) <= rest else 0
+            ids = model.encode(d[1])
+            want += [(d[0], model.decode(ids), *d[2:], len(ids), ids)] * (copies + more)
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 30
+    empty = str(tmp_path / "empty")
+    frame.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
