@@ -3,15 +3,21 @@
 Every run of 13 words holds a whole block of 7 words that starts at a multiple of 7 in its
 document. Those blocks are the index; the 7 words from every position are the probes. Both
 are hashed, and dealt to buckets by the first bits of the hash, packed: a row holds what a
-slice of texts sends to one bucket, so rows, not entries, cost. Hashes that two documents
-share, with a block among them, are hits. Hits go back to their documents, where those
-13-word windows that hold a hit are hashed; the smallest doc_id of each such window decides
+slice of texts sends to one bucket, so rows, not entries, cost. A block whose hash another
+document holds too, at any place, is a hit. Hits go back to their documents, where each is
+extended to the 13-word windows that hold it; the smallest doc_id of each such window decides
 which of the others go. Windows that overlap unite to maximal repeats, since each is judged
 on the input.
 
-A 13-word window that starts in two documents holds a block of one of them, whose probe
-in the other hits, so no window is missed; one that doesn't recur never shares its 64-bit
-hash but by chance (about n * n / 2^65 pairs of n candidate windows).
+A probe only says that a document holds its hash, so a slice of texts sends at most two for
+each hash, those of its smallest and largest doc_id. Blocks whose hash two documents of their
+slice hold are hits at once, and of a window that several of them hold all but the smallest
+are later ones. So a passage in a third of all texts sends to its bucket a few entries of
+each slice, however many texts hold it.
+
+A 13-word window that starts in two documents holds a block of each, and each is probed by
+the other, so no window is missed. Windows are compared by 96 bits of two independent
+hashes of their words.
 """
 
 from __future__ import annotations
@@ -26,150 +32,215 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, grouped, power_of_two, span_hashes, text_batches, text_bytes, text_slices, window_hashes, window_starts, word_spans
+from .common import cut, free_shuffles, grouped, power_of_two, span_hashes, text_batches, text_bytes, text_slices, window_hashes, window_starts, word_spans
 
 WINDOW = 13
 #: Bytes of text behind one bucket (about a million probes), behind one group of documents, and of a slice.
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 4 << 20
-SLICE = 8 << 20
+SLICE = 2 << 20
+#: Tasks of a shuffle at most; with more buckets or groups than that a task takes several in turn.
+TASKS = 20_000
 
 _HEAD = struct.Struct("<II")
+#: The position of a probe, which needs no answer.
+NO_BLOCK = 0xFFFFFFFF
+#: A probe's hash behind the bits that name its bucket, and a window's two hashes, 96 bits in all.
+PROBE, PAIR = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-def pack(doc: np.ndarray, salt: np.ndarray, hashes: np.ndarray | None, pos: np.ndarray) -> bytes:
-    """Entries whose equal documents stand together, as bytes: each document once, then hashes and positions."""
-    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])])) if len(doc) else np.zeros(0, np.int64)
+def pack(doc: np.ndarray, key: np.ndarray, hashes: np.ndarray | None, pos: np.ndarray) -> bytes:
+    """Entries whose equal rows stand together, as bytes: each row's doc_id and key once, then hashes and positions."""
+    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
     counts = np.diff(np.append(edge, len(doc)))
-    body = [_HEAD.pack(len(edge), len(doc)), doc[edge].astype("<i8").tobytes(), salt[edge].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), pos.astype("<u4").tobytes()]
+    body = [_HEAD.pack(len(edge), len(doc)), doc[edge].astype("<i8").tobytes(), key[edge].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos.astype("<u4").tobytes()]
     if hashes is not None:
         body.append(hashes.tobytes())
     return zstandard.compress(b"".join(body), 1)
 
 
-def unpack(blobs: list[bytes], kind: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
-    """doc_id, salt, hash (of type `kind`, if any) and position of all entries of packed rows."""
-    doc, salt, hashes, pos = [], [], [], []
+def unpack(blobs: list[bytes], kind: np.dtype | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """doc_id, key, hash (of type `kind`, if any) and position of all entries of packed rows."""
+    doc, key, hashes, pos = [], [], [], []
     for blob in blobs:
         raw = zstandard.decompress(blob)
         d, n = _HEAD.unpack_from(raw)
         at = _HEAD.size
         ids = np.frombuffer(raw, "<i8", d, at)
-        salts = np.frombuffer(raw, "<u4", d, at + 8 * d)
-        counts = np.frombuffer(raw, "<u4", d, at + 12 * d)
-        pos.append(np.frombuffer(raw, "<u4", n, at + 16 * d))
+        keys = np.frombuffer(raw, "<i8", d, at + 8 * d)
+        counts = np.frombuffer(raw, "<u4", d, at + 16 * d)
+        pos.append(np.frombuffer(raw, "<u4", n, at + 20 * d))
         doc.append(np.repeat(ids, counts))
-        salt.append(np.repeat(salts, counts))
+        key.append(np.repeat(keys, counts))
         if kind:
-            hashes.append(np.frombuffer(raw, kind, n, at + 16 * d + 4 * n))
+            hashes.append(np.frombuffer(raw, kind, n, at + 20 * d + 4 * n))
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(doc, np.int64), join(salt, np.uint32), join(hashes, kind) if kind else None, join(pos, np.uint32)
+    return join(doc, np.int64), join(key, np.int64), join(hashes, kind) if kind else None, join(pos, np.uint32)
+
 
+#: Rows dealt to a bucket; those with a group are marks on their way to it, which only pass through.
+DEALT = T.StructType([T.StructField("to", T.LongType()), T.StructField("group", T.LongType()), T.StructField("payload", T.BinaryType())])
+MARKS = T.StructType([T.StructField("group", T.LongType()), T.StructField("payload", T.BinaryType())])
 
-def _dealt(to: np.ndarray, doc: np.ndarray, salt: np.ndarray, hashes: np.ndarray | None, pos: np.ndarray) -> pa.RecordBatch:
-    """A packed row for each receiver in `to`; entries of a document keep together."""
+
+def _blobs(to: np.ndarray, doc: np.ndarray, key: np.ndarray, hashes: np.ndarray | None, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(receivers, a packed row for each); entries of a row keep together."""
     order = np.argsort(to, kind="stable")
     to = to[order]
     edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-    doc, salt, pos = doc[order], salt[order], pos[order]
+    doc, key, pos = doc[order], key[order], pos[order]
     hashes = hashes[order] if hashes is not None else None
-    blobs = [pack(doc[a:b], salt[a:b], None if hashes is None else hashes[a:b], pos[a:b]) for a, b in zip(edges, np.append(edges[1:], len(to)))]
-    return pa.RecordBatch.from_arrays([pa.array(to[edges].astype(np.int64)), pa.array(blobs, pa.binary())], names=["to", "payload"])
+    blobs = [pack(doc[a:b], key[a:b], None if hashes is None else hashes[a:b], pos[a:b]) for a, b in zip(edges, np.append(edges[1:], len(to)))]
+    return pa.array(to[edges].astype(np.int64)), pa.array(blobs, pa.binary())
+
+
+def _to_buckets(to: np.ndarray, doc: np.ndarray, key: np.ndarray, hashes: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    to, blobs = _blobs(to, doc, key, hashes, pos)
+    return pa.RecordBatch.from_arrays([to, pa.nulls(len(to), pa.int64()), blobs], names=DEALT.names)
+
+
+def _marks(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, groups: int) -> tuple[pa.Array, pa.Array]:
+    order = np.lexsort((pos, key, doc))
+    return _blobs(np.mod(key, groups)[order], doc[order], key[order], None, pos[order])
 
 
-PACKED = T.StructType([T.StructField("to", T.LongType()), T.StructField("payload", T.BinaryType())])
+def _passing_marks(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Marks on the way to their group, among the rows of buckets: receivers of their own below zero."""
+    group, blobs = _marks(doc, key, pos, groups)
+    return pa.RecordBatch.from_arrays([pa.array(-1 - group.to_numpy()), group, blobs], names=DEALT.names)
 
 
-def _salts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """32 bits of each text, to tell rows with the same doc_id apart."""
-    out = np.zeros(len(off) - 1, np.uint64)
-    full = off[1:] > off[:-1]
-    out[full] = span_hashes(raw, off[:-1][full], off[1:][full])
-    return (out >> np.uint64(32)).astype(np.uint32)
+def _runs(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where runs of equal hashes begin, in this order."""
+    h = h[order]
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
 
 
-def _probe(width: int, block: int, bits: int) -> Callable:
+def _probe(width: int, block: int, bits: int, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, off in text_slices(batch.column(1), SLICE):
+            for a, b, raw, off in text_slices(batch.column(2), SLICE):
                 starts, ends, first = word_spans(raw, off)
-                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                keys, ids = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (0, 1))
                 hashes = window_hashes(span_hashes(raw, starts, ends), block)
                 at, text = window_starts(first, block)
                 fits = np.diff(first)[text] >= width
                 at, text = at[fits], text[fits]
                 if not len(at):
                     continue
-                h = hashes[at]
+                h, doc, key, pos = hashes[at], ids[text], keys[text], at - first[:-1][text]
+                here, blocks, probes = _decided(h, doc, pos % block == 0)
+                if here.any():
+                    yield _passing_marks(doc[here], key[here], pos[here], groups)
+                some = blocks | probes
+                pos = np.where(blocks, pos, NO_BLOCK)[some]
+                h, doc, key = h[some], doc[some], key[some]
                 to = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(h), np.uint16)
-                yield _dealt(to, ids[text], _salts(raw, off)[text], h.astype("<u4"), at - first[:-1][text])
+                yield _to_buckets(to, doc, key, h.astype(PROBE), pos)
 
     return run
 
 
-def _hits(block: int, groups: int) -> Callable:
-    """Of each bucket, the entries whose hash two doc_ids share and a block has; dealt to groups of documents."""
+def _decided(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks whose hash two documents of this slice hold; the other blocks; the probes that stand for each hash, but where a block does)."""
+    order = np.argsort(h)
+    edges = _runs(h, order)
+    d, is_block = doc[order], block[order]
+    low, high = np.minimum.reduceat(d, edges), np.maximum.reduceat(d, edges)
+    sizes = np.diff(np.append(edges, len(h)))
+    several, open_ = low != high, ~np.logical_or.reduceat(is_block, edges)
+    here, probes = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    here[order] = is_block & np.repeat(several, sizes)
+    probes[order[edges[open_ & ~several]]] = True
+    run = np.repeat(np.arange(len(edges)), sizes)
+    inside = np.flatnonzero(several[run])
+    for end in (low, high):
+        chosen = inside[d[inside] == end[run[inside]]]
+        probes[order[chosen[np.unique(run[chosen], return_index=True)[1]]]] = True
+    return here, block & ~here, probes
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | pa.RecordBatch]:
+    """Whole buckets, and the marks that pass through."""
+    for table in grouped(batches, ["to"]):
+        if table.column("to")[0].as_py() < 0:
+            yield from table.select(["group", "payload"]).to_batches()
+        else:
+            yield table
+
+
+def _hits(groups: int) -> Callable:
+    """Of each bucket, the blocks whose hash another doc_id holds too; dealt to groups of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["to"]):
-            doc, salt, h, pos = unpack(rows.column("payload").to_pylist(), "<u4")
-            order = np.argsort(h, kind="stable")
-            equal = h[order][1:] == h[order][:-1]
-            more = np.zeros(len(h), bool)
-            more[1:] |= equal
-            more[:-1] |= equal
-            order = order[more]
-            yield from _shared(doc, salt, h, pos, order, groups, lambda d, p, e: (np.minimum.reduceat(d, e) != np.maximum.reduceat(d, e)) & (np.minimum.reduceat(p % block, e) == 0), None)
+        for rows in _tables(batches):
+            if isinstance(rows, pa.RecordBatch):
+                yield rows
+                continue
+            doc, key, h, pos = unpack(rows.column("payload").to_pylist(), PROBE)
+            order = np.argsort(h)
+            edges = _runs(h, order)
+            d = doc[order]
+            shared = np.minimum.reduceat(d, edges) != np.maximum.reduceat(d, edges)
+            good = order[np.repeat(shared, np.diff(np.append(edges, len(d)))) & (pos[order] != NO_BLOCK)]
+            if len(good):
+                yield pa.RecordBatch.from_arrays([*_marks(doc[good], key[good], pos[good], groups)], names=MARKS.names)
 
     return run
 
 
+def _earliest(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window, whether no smaller doc_id among these has it."""
+    order = np.lexsort((h["b"], h["a"]))
+    edges = _runs(h, order)
+    out = np.zeros(len(h), bool)
+    if len(h):
+        out[order] = doc[order] == np.repeat(np.minimum.reduceat(doc[order], edges), np.diff(np.append(edges, len(h))))
+    return out
+
+
 def _later(groups: int) -> Callable:
     """Of each bucket, the windows that a smaller doc_id holds too; dealt to groups of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["to"]):
-            doc, salt, h, pos = unpack(rows.column("payload").to_pylist(), "<u8")
-            yield from _shared(doc, salt, h, pos, np.argsort(h, kind="stable"), groups, None, lambda d, least: d > least)
+        for rows in _tables(batches):
+            if isinstance(rows, pa.RecordBatch):
+                yield rows
+                continue
+            doc, key, h, pos = unpack(rows.column("payload").to_pylist(), PAIR)
+            later = ~_earliest(h, doc)
+            if later.any():
+                yield pa.RecordBatch.from_arrays([*_marks(doc[later], key[later], pos[later], groups)], names=MARKS.names)
 
     return run
 
 
-def _shared(doc, salt, h, pos, order, groups, by_hash, by_entry) -> Iterator[pa.RecordBatch]:
-    if not len(order):
-        return
-    h, d, p = h[order], doc[order], pos[order]
-    edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(edges, len(h)))
-    good = np.repeat(by_hash(d, p, edges), sizes) if by_hash else by_entry(d, np.repeat(np.minimum.reduceat(d, edges), sizes))
-    d, p, s = d[good], p[good], salt[order][good]
-    if len(d):
-        by_doc = np.lexsort((p, s, d))
-        yield _dealt(np.mod(d, groups)[by_doc], d[by_doc], s[by_doc], None, p[by_doc])
+def _to_hash_buckets(dealt: DataFrame, buckets: int) -> DataFrame:
+    return dealt.repartition(min(buckets, TASKS), "to").sortWithinPartitions("to")
 
 
-def _by_group(docs: DataFrame, packed: DataFrame, groups: int) -> DataFrame:
+def _by_group(docs: DataFrame, marks: DataFrame, groups: int) -> DataFrame:
     """Rows of documents (kind 1) and, before them, what was dealt to their group (kind 0)."""
-    left = docs.select(F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("long").alias("to"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), *docs.columns)
-    right = packed.select("to", F.lit(0).alias("kind"), "payload", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
-    return left.unionByName(right).repartition("to").sortWithinPartitions("to", "kind")
+    left = docs.select(F.pmod("key", F.lit(groups)).cast("long").alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), *docs.columns)
+    right = marks.select("group", F.lit(0).alias("kind"), "payload", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return left.unionByName(right).repartition(min(groups, TASKS), "group").sortWithinPartitions("group", "kind")
 
 
 class _Marks:
-    """Positions dealt to a group of documents, by document."""
+    """Positions dealt to a group of documents, by row."""
 
     def __init__(self, blobs: list[bytes]):
-        doc, salt, _, pos = unpack(blobs, None)
-        order = np.lexsort((salt, doc))
-        doc, salt, self.pos = doc[order], salt[order], pos[order].astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])])).tolist() if len(doc) else []
-        self.at = {(int(doc[a]), int(salt[a])): (a, b) for a, b in zip(edges, [*edges[1:], len(doc)])}
+        doc, key, _, pos = unpack(blobs, None)
+        order = np.lexsort((key, doc))
+        doc, key, self.pos = doc[order], key[order], pos[order].astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])).tolist() if len(doc) else []
+        self.at = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(edges, [*edges[1:], len(doc)])}
 
-    def of(self, ids: list, salts: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    def of(self, ids: list, keys: list, first: np.ndarray, n: int) -> np.ndarray:
         """A flag for each word index of a slice."""
         out = np.zeros(n, bool)
-        for d, s, f in zip(ids, salts.tolist(), first.tolist()):
-            if (at := self.at.get((d, s))) is not None:
+        for d, k, f in zip(ids, keys, first.tolist()):
+            if (at := self.at.get((d, k))) is not None:
                 out[f + self.pos[at[0] : at[1]]] = True
         return out
 
@@ -195,28 +266,32 @@ def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Marks, pa.
             yield marks, rows
 
 
-def _extend(width: int, block: int, bits: int) -> Callable:
-    """Hashes of the windows of `width` words that hold a hit, dealt to buckets."""
+def _extend(width: int, block: int, bits: int, groups: int) -> Callable:
+    """Hashes of the windows of `width` words that hold a hit, dealt to buckets; those that a smaller doc_id of this slice has are later ones already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, rows in _with_marks(batches):
             if not marks.at:
                 continue
-            ids_column = rows.column(3)
-            for a, b, raw, off in text_slices(rows.column(4), SLICE):
+            for a, b, raw, off in text_slices(rows.column(5), SLICE):
                 starts, ends, first = word_spans(raw, off)
-                ids, salts = ids_column.slice(a, b - a).to_pylist(), _salts(raw, off)
+                keys, ids = (rows.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (3, 4))
                 hit = np.zeros(len(starts) + 1, np.int64)
-                np.cumsum(marks.of(ids, salts, first, len(starts)), out=hit[1:])
+                np.cumsum(marks.of(ids.tolist(), keys.tolist(), first, len(starts)), out=hit[1:])
                 at, text = window_starts(first, width)
                 holds = hit[at + width - block + 1] > hit[at]
                 at, text = at[holds], text[holds]
                 if not len(at):
                     continue
-                h = window_hashes(span_hashes(raw, starts, ends), width)[at]
-                to = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                numbers = np.array([-1 if i is None else i for i in ids], np.int64)  # null doc_ids never have marks
-                yield _dealt(to, numbers[text], salts[text], h, at - first[:-1][text])
+                h = np.empty(len(at), PAIR)
+                h["a"] = window_hashes(span_hashes(raw, starts, ends), width)[at]
+                h["b"] = window_hashes(span_hashes(raw, starts, ends, 1), width)[at] >> np.uint64(32)
+                doc, key, pos = ids[text], keys[text], at - first[:-1][text]
+                mine = _earliest(h, doc)
+                if not mine.all():
+                    yield _passing_marks(doc[~mine], key[~mine], pos[~mine], groups)
+                to = (h["a"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+                yield _to_buckets(to[mine], doc[mine], key[mine], h[mine], pos[mine])
 
     return run
 
@@ -233,12 +308,13 @@ def _without(raw: bytes, spans: list[tuple[int, int]], gone: np.ndarray, separat
     return b"".join(out)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", width: int = WINDOW, separators: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", width: int = WINDOW, separators: bool = True, spans: bool = False) -> DataFrame:
     """df with n_words and n_removed, and the text without every word covered by a window of `width` words whose sequence also starts in a row with a smaller doc_id.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. With
     `separators` a text that loses nothing stays as it is, and kept words of others keep the white space before
-    them; else all texts become their kept words joined by one space. Null texts have no words and become empty
+    them; else all texts become their kept words joined by one space. With `spans`, `repeats` lists the maximal
+    repeats that were removed, as [start, end) word numbers. Null texts have no words and become empty
     without `separators`. Rows with a null doc_id are neither earlier nor later than others and stay whole. Rows
     with the same doc_id don't count as earlier than each other; each is judged by its own text. Columns named
     like results are replaced. doc_id must be a whole number; other columns are kept, their types too.
@@ -246,46 +322,55 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WINDOW, separ
     spark = df.sparkSession
     text_batches(spark)
     block = (width + 1) // 2
-    others = [c for c in df.columns if c not in ("doc_id", text, "n_words", "n_removed")]
+    others = [c for c in df.columns if c not in ("doc_id", text, "n_words", "n_removed", *(["repeats"] if spans else []))]
     docs = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), *([F.struct(*others).alias("others")] if others else []))
-    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), *docs.columns)  # tells rows of one doc_id apart
+    known = docs.select("key", "doc_id", "text").where(F.col("doc_id").isNotNull())
     _, size = text_bytes(docs)
     bits = power_of_two(size / BUCKET_BYTES).bit_length() - 1
     groups = 2 * int(size / GROUP_BYTES / 2) + 1
 
-    probes = known.mapInArrow(_probe(width, block, bits), PACKED)
-    hits = cut(probes.repartition("to").sortWithinPartitions("to").mapInArrow(_hits(block, groups), PACKED), "hits")
-    windows = _by_group(known, hits, groups).mapInArrow(_extend(width, block, bits), PACKED)
-    later = cut(windows.repartition("to").sortWithinPartitions("to").mapInArrow(_later(groups), PACKED), "later")
+    hits = cut(_to_hash_buckets(known.mapInArrow(_probe(width, block, bits, groups), DEALT), 1 << bits).mapInArrow(_hits(groups), MARKS), "hits")
+    free_shuffles(spark)
+    later = cut(_to_hash_buckets(_by_group(known, hits, groups).mapInArrow(_extend(width, block, bits, groups), DEALT), 1 << bits).mapInArrow(_later(groups), MARKS), "later")
+    free_shuffles(spark)
 
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], *([docs.schema["others"]] if others else []), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    if spans:
+        more.append(T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], *([docs.schema["others"]] if others else []), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, rows in _with_marks(batches):
-            column = rows.column(4)
+            column = rows.column(5)
             for a, b, raw, off in text_slices(column):
                 starts, ends, first = word_spans(raw, off)
-                ids = rows.column(3).slice(a, b - a).to_pylist()
-                begin = marks.of(ids, _salts(raw, off), first, len(starts)).astype(np.int64)
+                keys, ids = (rows.column(k).slice(a, b - a).to_pylist() for k in (3, 4))
+                begin = marks.of(ids, keys, first, len(starts)).astype(np.int64)
                 runs = np.cumsum(begin)
                 runs[width:] -= runs[:-width].copy()  # windows that start in the last `width` words
                 gone = runs > 0
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 removed = lost[first[1:]] - lost[first[:-1]]
-                texts = []
+                texts, found = [], []
                 for k, t in enumerate(column.slice(a, b - a).to_pylist()):
+                    low, high, o = first[k], first[k + 1], off[k]
                     if removed[k]:
-                        low, high, o = first[k], first[k + 1], off[k]
                         t = _without(t.encode(), list(zip((starts[low:high] - o).tolist(), (ends[low:high] - o).tolist())), gone[low:high], separators).decode()
                     elif not separators:
                         t = b" ".join((t or "").encode().split()).decode()
                     texts.append(t)
-                extra = [rows.column(5).slice(a, b - a)] if others else []
-                yield pa.RecordBatch.from_arrays([rows.column(3).slice(a, b - a), pa.array(texts, pa.string()), *extra, pa.array(np.diff(first)), pa.array(removed)], schema=pa.schema([(n, x.type) for n, x in zip(schema.names, [rows.column(3), pa.array([], pa.string()), *extra, pa.array([], pa.int64()), pa.array([], pa.int64())])]))
+                    if spans:
+                        turns = np.flatnonzero(np.diff(np.concatenate([[False], gone[low:high], [False]]))).tolist()
+                        found.append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
+                extra = [rows.column(6).slice(a, b - a)] if others else []
+                arrays = [rows.column(4).slice(a, b - a), pa.array(texts, pa.string()), *extra, pa.array(np.diff(first)), pa.array(removed)]
+                arrays += [pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] if spans else []
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     out = _by_group(docs, later, groups).mapInArrow(run, schema)
     columns = {"doc_id": F.col("doc_id"), text: F.col("text").alias(text)} | {c: F.col("others").getField(c).alias(c) for c in others}
-    return out.select(*[columns[c] for c in df.columns if c in columns], "n_words", "n_removed")
+    return out.select(*[columns[c] for c in df.columns if c in columns], *[f.name for f in more])
 
 
 def digests(df: DataFrame) -> DataFrame:
