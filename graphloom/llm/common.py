@@ -52,7 +52,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch of whole texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -282,9 +282,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             yield table.slice(0, edges[-1]).combine_chunks(), edges
     if held is not None and held.num_rows:
         yield held.combine_chunks(), [0, held.num_rows]
-
-
-def flat_lists(column: pa.ChunkedArray | pa.Array, width: int, kind) -> np.ndarray:
-    """A list column with lists of one width, as rows of a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, width)
