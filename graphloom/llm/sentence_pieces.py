@@ -106,16 +106,27 @@ def worker_pieces(path: str) -> Pieces:
     return _workers[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+#: Lists of ids handed to the library's decode at once.
+DECODED = 64
+
+
+def _decoded(model, rows: list[list[int]]) -> list[str]:
+    return [t for a in range(0, len(rows), DECODED) for t in model.decode(rows[a : a + DECODED], num_threads=1)]
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """df with `ids`, the ids of each whole text as the library gives them (array of int), without begin or end ids.
 
-    A null text is empty and has no ids. Rows are kept as they are, repeated ones too; a column
-    named like the result is replaced. A word of any length is segmented whole.
+    With `decoded`, a column of that name holds what the ids decode to, as `decode` gives it, made by the same worker,
+    so that ids needn't go to a second one and back; it may be the text's own name. A null text is empty and has no ids.
+    Rows are kept as they are, repeated ones too; columns named like results are replaced. A word of any length is
+    segmented whole.
     """
     text_batches(df.sparkSession)
-    columns = [c for c in df.columns if c != ids]
-    kept = [df.schema[c] for c in columns if keep_text or c != text]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    columns = [c for c in df.columns if c == text or c not in (ids, decoded)]
+    kept = [df.schema[c] for c in columns if c not in (ids, decoded) and (keep_text or c != text)]
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_pieces(path)
@@ -123,7 +134,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
             for a, b, raw, off in text_slices(batch.column(batch.schema.get_field_index(text))):
                 found, counts = pieces.ids(raw, off)
                 arrays = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, list_array(found, counts, pa.int32())], names=schema.names)
+                lists = list_array(found, counts, pa.int32())
+                texts = [pa.array(_decoded(pieces.model, lists.to_pylist()), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*arrays, lists, *texts], names=schema.names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -144,9 +157,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             out: list[str] = []
-            for a in range(0, len(column), 64):
-                rows = [[i for i in r or () if i is not None] for r in column.slice(a, 64).to_pylist()]
-                out += model.decode(rows, num_threads=1) if rows else []
+            for a in range(0, len(column), DECODED):
+                out += _decoded(model, [[i for i in r or () if i is not None] for r in column.slice(a, DECODED).to_pylist()])
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.string())], names=schema.names)
 
@@ -155,6 +167,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded whole."""
-    ids = encode(df.select("doc_id", text), path, text, "ids", keep_text=False)
-    both = decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "ids"), path, "ids", "decoded", keep_ids=False)
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = encode(df.select("doc_id", text), path, text, "ids", keep_text=False, decoded="decoded")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

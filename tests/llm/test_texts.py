@@ -61,6 +61,13 @@ def test_pieces(docs, empty):
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
     got = sentence_pieces.round_trip(docs, vocabulary(PIECES))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    both = sentence_pieces.encode(docs.withColumn("decoded", F.lit(1)), vocabulary(PIECES), decoded="decoded")
+    apart = sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary(PIECES)), vocabulary(PIECES))
+    assert both.columns == apart.columns
+    assert sorted(map(tuple, both.select("doc_id", "ids", "decoded").collect()), key=key) == sorted(map(tuple, apart.select("doc_id", "ids", "decoded").collect()), key=key)
+    over = sentence_pieces.encode(docs, vocabulary(PIECES), decoded="text")
+    assert sorted(over.columns) == sorted([*docs.columns, "ids"])
+    assert sorted(map(str, over.select("text").collect())) == sorted(map(str, apart.select(F.col("decoded").alias("text")).collect()))
     assert sentence_pieces.encode(empty, vocabulary(PIECES)).columns == [*docs.columns, "ids"]
     assert sentence_pieces.round_trip(empty, vocabulary(PIECES)).count() == 0
     lists = docs.sparkSession.createDataFrame([(1, [259, None, 264]), (2, None)], "k int, ids array<int>")
