@@ -49,8 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and as its text what they decode to."""
-    out = sentence_pieces.encode(docs, vocabulary(PIECES), keep_text=False)
-    out = sentence_pieces.decode(out, vocabulary(PIECES), text="text")
+    out = sentence_pieces.encode(docs, vocabulary(PIECES), decoded="text")
     return out.select("doc_id", "text", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
