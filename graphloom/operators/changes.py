@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.catalog import CatalogError
+from .lineage import checkpoint
 from .store import TYPE, ForeignKey, Graph
 
 
@@ -86,9 +88,88 @@ BROADCAST_ROWS = 10_000
 CHANGES = T.StructType([T.StructField("seq", T.LongType(), False), *[T.StructField(n, T.StringType()) for n in ("op", "obj_id", "typ", "field", "value", "other")]])
 
 
+def _holder(graph: Graph, typ: str) -> str:
+    """The entity whose table holds objects of a type: its own, or that of the whole tree."""
+    return next((e.key for e in graph.catalog.lineage(typ) if e.key in graph.tables and (e.key == typ or TYPE in graph.tables[e.key].columns)), typ)
+
+
+def _later(seq: str, than: str) -> Column:
+    return F.col(seq).isNotNull() & (F.col(than).isNull() | (F.col(seq) > F.col(than)))
+
+
+def _with_values(graph: Graph, typ: str, changes: DataFrame) -> Graph:
+    """The graph with what the changes (of one type) create and set. All of an object's changes come down to one row in one aggregation with a partial step."""
+    holder = _holder(graph, typ)
+    table = graph.tables.get(holder)
+    table = changes.sparkSession.createDataFrame([], graph.catalog.schema(typ)) if table is None else table
+    named = {r.field for r in changes.where("op = 'set'").select("field").distinct().collect()}  # as many as the type has fields
+    if missing := named - {k for k in graph.catalog.fields(typ) if k in table.columns}:
+        raise CatalogError(f"the table of '{holder}' has no column for {sorted(missing)}")
+    fields = sorted(named)
+    of = lambda op: F.max(F.when(F.col("op") == op, F.col("seq")))
+    last = [F.max(F.when((F.col("op") == "set") & (F.col("field") == f), F.struct("seq", "value"))).alias(f"_x{i}") for i, f in enumerate(fields)]
+    rows = changes.groupBy("obj_id").agg(of("delete").alias("_gone"), of("create").alias("_made"), *last)
+    rows = rows.select("obj_id", _later("_made", "_gone").alias("_created"), *[F.when(_later(f"_x{i}.seq", "_gone"), F.col(f"_x{i}")).alias(f"_x{i}") for i in range(len(fields))])
+    new = {f: F.col(f"_x{i}").getField("value").cast(table.schema[f].dataType) for i, f in enumerate(fields)}
+    value = {f: F.when(F.col(f"_x{i}").isNotNull(), new[f]).otherwise(F.col(f)).alias(f) for i, f in enumerate(fields)}
+    old = table.join(rows.drop("_created"), "obj_id", "left").select(*[value.get(c, F.col(c)) for c in table.columns])
+    fresh = {f: c.alias(f) for f, c in new.items()} | {"obj_id": F.col("obj_id"), TYPE: F.lit(typ).alias(TYPE)}
+    added = rows.where("_created").join(table.select("obj_id"), "obj_id", "left_anti")
+    added = added.select(*[fresh[c] if c in fresh else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+    return graph.with_tables({holder: old.unionByName(added)})
+
+
+def _with_edges(graph: Graph, name: str, ops: DataFrame, gone: dict[str, DataFrame]) -> Graph:
+    """The graph with links and unlinks (a, b, seq, there) of one reference; without b or a, all edges of the other end go. gone: the deletes (end, seq) of objects at either end."""
+    table = graph.edges.get(name)
+    if isinstance(table, ForeignKey):
+        raise CatalogError(f"edges of '{name}' are a column; set the column instead")
+    table = ops.select("a", "b").limit(0) if table is None else table
+    pairs = ops.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.max("seq").alias("seq"), F.max_by("there", "seq").alias("there"))
+    new, kept = pairs.where("there"), table.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    for end, other in (("a", "b"), ("b", "a")):
+        ended = ops.where(F.col(other).isNull()).select(end, F.col("seq").alias("_end"))
+        kept = kept.join(ended.select(end), end, "left_anti").select("a", "b")
+        ended = ended.union(gone[end]) if end in gone else ended
+        new = new.join(ended.groupBy(end).agg(F.max("_end").alias("_end")), end, "left").where(_later("seq", "_end")).drop("_end")
+    return graph.with_tables(edges={name: kept.union(new.select("a", "b"))})
+
+
+def apply_changes(graph: Graph, changes: DataFrame) -> Graph:
+    """The graph as a frame of changes (CHANGES, each seq once) leaves it: what a session's apply gives, for any number of changes.
+
+    Changes are written once and read again; each table and each edge table is joined with its own changes, by keys, and
+    only types and names of fields and references, which the catalog bounds, come to the driver. Ids may repeat among
+    entities of different trees. An unknown field or reference raises CatalogError; no changes leave the graph as it is.
+    """
+    catalog = graph.catalog
+    changes = checkpoint(changes.select(*CHANGES.names))
+    kinds = [tuple(r) for r in changes.select("typ", F.when(F.col("op").isin("link", "unlink"), F.col("field")).alias("ref"), (F.col("op") == "delete").alias("gone")).distinct().collect()]
+    deleted = sorted({t for t, _, d in kinds if d})
+    for typ in deleted:
+        graph = delete_objects(graph, typ, changes.where((F.col("op") == "delete") & (F.col("typ") == typ)))
+    for typ in sorted({t for t, r, d in kinds if r is None and not d}):
+        graph = _with_values(graph, typ, changes.where((F.col("typ") == typ) & F.col("op").isin("create", "set", "delete")))
+    named = {(t, r): catalog.ref(t, r) for t, r, _ in kinds if r is not None}
+    for name in sorted({r.edge for r in named.values()}):
+        ops, gone = [], {}
+        for (typ, key), ref in named.items():
+            if ref.edge == name:
+                mine = changes.where((F.col("typ") == typ) & (F.col("field") == key) & F.col("op").isin("link", "unlink"))
+                a, b = ("obj_id", "other") if ref.side == "a" else ("other", "obj_id")
+                ops.append(mine.select(F.col(a).alias("a"), F.col(b).alias("b"), "seq", (F.col("op") == "link").alias("there")))
+        for owner, entity in catalog.entities.items():
+            for ref in entity.refs:
+                kin = {*catalog.descendants(owner), *(e.key for e in catalog.lineage(owner))} & set(deleted) if ref.edge == name else set()
+                if kin:
+                    gone[ref.side] = changes.where((F.col("op") == "delete") & F.col("typ").isin(sorted(kin))).select(F.col("obj_id").alias(ref.side), F.col("seq").alias("_end"))
+        graph = _with_edges(graph, name, reduce(DataFrame.union, ops), gone)
+    return graph
+
+
 @dataclass
 class Session:
-    """Collects single changes in the driver, as a caller types them, and commits them at once; bulk changes go through the functions above.
+    """Collects single changes in the driver, as a caller types them, and commits them at once; bulk changes are a frame for apply_changes.
 
     Tables must have text ids and edges must be tables. Reads see one snapshot: `graph` before a commit, the
     returned one after it.
@@ -158,6 +239,7 @@ class Session:
                     values[typ][obj][name] = value
             elif op == "delete":
                 values.get(typ, {}).pop(obj, None)
+                created.get(typ, set()).discard(obj)
                 gone.setdefault(typ, set()).add(obj)
                 for known in edges.values():
                     for k in [k for k in known if obj in k]:
@@ -176,8 +258,7 @@ class Session:
         for typ, ids in gone.items():
             graph = delete_objects(graph, typ, spark.createDataFrame([(i,) for i in sorted(ids)], "obj_id string"))
         for typ, rows in values.items():
-            # a table of the whole tree holds all its entities
-            holder = next((e.key for e in graph.catalog.lineage(typ) if e.key in graph.tables and (e.key == typ or TYPE in graph.tables[e.key].columns)), typ)
+            holder = _holder(graph, typ)
             table = graph.tables.get(holder)
             table = spark.createDataFrame([], graph.catalog.schema(typ)) if table is None else table
             fields = {k: f for k, f in graph.catalog.fields(typ).items() if k in table.columns}

@@ -68,7 +68,7 @@ def _edges_of_deleted(graph: Graph, gone: DataFrame) -> list[DataFrame]:
                 kin = types & {*graph.catalog.descendants(key), *(e.key for e in graph.catalog.lineage(key))}
                 if kin:
                     mine = gone.where(F.col("typ").isin(sorted(kin))).select(F.col("obj_id").alias(end), "seq")
-                    parts.append(links.join(F.broadcast(mine), end).select("obj_a", "fld_a", "obj_b", "fld_b", "seq", F.lit(False).alias("added")))
+                    parts.append(links.join(mine, end).select("obj_a", "fld_a", "obj_b", "fld_b", "seq", F.lit(False).alias("added")))
     return parts
 
 

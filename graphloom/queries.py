@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -280,6 +281,37 @@ _add("delete_cascade_rows", _cascade_rows, """
 SELECT 'Customer' AS _typ, c_custkey AS obj_id, NULL::BIGINT AS "to" FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'Supplier', -1 - s_suppkey, NULL FROM supplier
 UNION ALL SELECT 'Order', o_orderkey, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0) THEN o_custkey END FROM orders
 UNION ALL SELECT 'Event', event_id, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 3 = 0) THEN user_id END FROM events""")
+
+
+def _bulk_changes(g: Graph) -> DataFrame:
+    """A change or two of every order, as rows: new priorities, every 7th goes, every 14th comes back empty, every 5th is copied and linked to the next customer."""
+    o = g.tables["Order"].select("obj_id", F.col("customer").alias("c"))
+    none = F.lit(None).cast("string")
+
+    def some(where: str, step: int, op: str, obj=F.col("obj_id").cast("string"), field=none, value=none, other=none) -> DataFrame:
+        return o.where(where).select((F.col("obj_id") * 10 + step).alias("seq"), F.lit(op).alias("op"), obj.alias("obj_id"), F.lit("Order").alias("typ"), field.alias("field"), value.alias("value"), other.alias("other"))
+
+    copy = F.concat(F.lit("copy-"), F.col("obj_id").cast("string"))
+    parts = [
+        some("true", 0, "set", field=F.lit("Priority"), value=F.lit("first")), some("obj_id % 2 = 0", 1, "set", field=F.lit("Priority"), value=F.lit("last")),
+        some("obj_id % 7 = 0", 2, "delete"), some("obj_id % 14 = 0", 3, "create"),
+        some("obj_id % 5 = 0", 4, "create", copy), some("obj_id % 5 = 0", 5, "set", copy, F.lit("TotalPrice"), F.lit("1.50")), some("obj_id % 5 = 0", 6, "link", copy, F.lit("Customer"), other=(F.col("c") + 1).cast("string")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def _bulk(g: Graph) -> DataFrame:
+    """All orders after those changes, each with its customer by the edges."""
+    graph = _with_text_ids(g)
+    after = changes.apply_changes(graph, _bulk_changes(g))
+    to = after.links(CATALOG.ref("Order", "Customer")).select(F.col("a").alias("obj_id"), F.col("b").alias("to"))
+    return after.tables["Order"].join(to, "obj_id", "left").select("obj_id", "Status", F.col("TotalPrice").cast("double").alias("TotalPrice"), "Priority", "to")
+
+
+_add("bulk_changes", _bulk, """
+SELECT o_orderkey::VARCHAR AS obj_id, CASE WHEN o_orderkey % 14 <> 0 THEN o_orderstatus END AS "Status", CASE WHEN o_orderkey % 14 <> 0 THEN o_totalprice::DECIMAL(18,2)::DOUBLE END AS "TotalPrice",
+CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'last' ELSE 'first' END AS "Priority", CASE WHEN o_orderkey % 14 <> 0 THEN o_custkey::VARCHAR END AS "to" FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0
+UNION ALL SELECT 'copy-' || o_orderkey::VARCHAR, NULL, 1.5, NULL, (o_custkey + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 = 0""")
 _PLAIN = "Region Nation Party Part Order LineItem Event Document".split()
 _add("catalog_lineage", lambda g: g.catalog.to_frame(g.tables["Region"].sparkSession).select("key", "parent"), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', NULL)" for k in _PLAIN) + ", ('Customer', 'Party'), ('Supplier', 'Party'), ('LabeledDocument', 'Document'), ('ToxicDocument', 'LabeledDocument')) AS t(key, parent)")
 

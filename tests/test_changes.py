@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from models import BUSINESS, FOLDERS, ITEMS, build, dec, empty, ids
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom import cli
 from graphloom.functions.types import DataType, decode, encode
 from graphloom.operators import history
-from graphloom.operators.changes import Session, delete_objects, last_write, link, overlay, unlink
+from graphloom.operators.changes import CHANGES, Session, apply_changes, delete_objects, last_write, link, overlay, unlink
 from graphloom.operators.search import search
 from graphloom.operators.store import ForeignKey, Graph
 from graphloom.plans.catalog import CatalogError
@@ -127,6 +128,35 @@ def test_delete_then_create(spark):
     assert at(1) == [("a", "f", "1"), ("b", "f", "2")] and at(2) == [("a", "g", "3"), ("b", "f", "2")] and at(3) == [("a", "g", "3")]
 
 
+def test_bulk_changes_do_what_a_session_does(spark):
+    """The same random changes, one by one and as a frame."""
+    r = random.Random(5)
+    names = "abcdef"
+    for _ in range(3):
+        g = build(spark, FOLDERS, {k: (K, {"Name": k, "TestIntegerField": 1}) for k in "abcd"}, [(K, "b", "Parent", "a"), (K, "c", "Parent", "a"), (K, "d", "Parent", "c")])
+        s = Session(g)
+        for _ in range(30):
+            x, y = r.choice(names), r.choice(names)
+            op = r.choice(["create", "delete", "set", "set", "unset", "link", "link", "unlink", "clear", "children"])
+            if op == "create":
+                s.create(K, x, **({"Name": f"new-{x}"} if r.random() < 0.5 else {}))
+            elif op == "delete":
+                s.delete(K, x)
+            elif op in ("set", "unset"):
+                s.set(K, x, "TestIntegerField", r.randint(2, 9) if op == "set" else None)
+            elif op in ("link", "unlink"):
+                getattr(s, op)(K, x, "Parent", y)
+            else:
+                s.unlink(K, x, "Parent" if op == "clear" else "Subfolders")
+        one, many = s.apply(), apply_changes(g, s.rows())
+        rows = lambda a: sorted(tuple(x) for x in a.scan(K).select("obj_id", "Name", "TestIntegerField").fillna({"Name": "", "TestIntegerField": -1}).collect())
+        links = lambda a: sorted(tuple(x) for x in a.links(FOLDERS.ref(K, "Parent")).collect())
+        assert rows(one) == rows(many) and links(one) == links(many)
+    assert rows(apply_changes(g, spark.createDataFrame([], CHANGES))) == rows(g)
+    with pytest.raises(CatalogError):
+        apply_changes(g, spark.createDataFrame([(0, "set", "a", K, "Nope", "1", None)], CHANGES))
+
+
 def test_apply_keeps_what_it_does_not_know(spark):
     """Key columns and the type column of a tree's table stay, and rows made in it get their type."""
     tree = Graph(ITEMS, {"BaseItem": spark.createDataFrame([("a", "BaseItem", "x", None, "g"), ("b", "ChildItem", "y", 4, None)], "obj_id string, _typ string, BaseName string, ChildValue long, group string")}, {"Group-Items": ForeignKey("BaseItem", "group")})
