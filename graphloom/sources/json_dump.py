@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.types import Cardinality, DataType
 from ..operators.store import TYPE, ForeignKey, Graph
@@ -106,6 +105,3 @@ def dump(graph: Graph) -> str:
     head = {"modelGuid": model.id or model.name} | ({"importedModels": list(model.imports)} if model.imports else {})
     body = ",".join(f"{json.dumps(r.obj_id)}:{r.json}" for r in lines)
     return json.dumps(head)[:-1] + ',"entities":{' + body + "}}"
-
-
-SCHEMA = T.StructType([T.StructField("modelGuid", T.StringType()), T.StructField("importedModels", T.ArrayType(T.StringType())), T.StructField("entities", T.MapType(T.StringType(), T.StringType()))])
