@@ -77,6 +77,22 @@ def test_write_shards(spark, tmp_path):
     assert len({x.shard for x in out if x.doc_id == 7}) > 5 and len({x.shard for x in out if x.doc_id is None}) > 3
 
 
+def test_sharding_below_the_depth_of_its_sql(spark):
+    """Keys that share 30, 31 and 33 bits are split further down; the SQL ends at depth 30 and leaves out those that don't fit together there."""
+    import duckdb
+
+    sizes = {59690: 14689, 188666: 1932, 472385: 21065, 490807: 6869, 86113: 50479, 180905: 2895, 9: 100}
+    docs = spark.createDataFrame([(k, "x" * n) for k, n in sizes.items()], "doc_id long, text string")
+    got = sorted(tuple(x) for x in sharding.shard(docs, limit=queries.FINE).collect())
+    assert {x[0]: x[2] for x in got if x[2] > 30} == {59690: 31, 188666: 31, 472385: 32, 490807: 32, 86113: 34, 180905: 34}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [(k, "x" * n) for k, n in sizes.items()])
+    sql = sharding.oracle(queries.FINE)
+    assert "range(0, 31)" in sql and got == sorted(c.sql(sql.replace("range(0, 31)", "range(0, 61)")).fetchall())
+    assert [x for x in got if x[2] <= 30] == sorted(c.sql(sql).fetchall())
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """A doc_id with several texts loses only those that are copies of other documents'."""
     base, one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
